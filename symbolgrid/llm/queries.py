@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolgrid.llm import chat, outliers, secret_ledger
+from symbolgrid.llm import bpe, chat, neardup, outliers, secret_ledger
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*base)
 
 
+def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secret_ledger.findings_of_paths(docs, secret_ledger.update_ledger(docs))
@@ -111,11 +115,21 @@ FROM documents d LEFT JOIN lists l ON d.doc_id = l.doc_id
 """
 
 
+def op10_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    codec = bpe.load_codec(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode_column(table(spark, sf_dir, "documents"), codec, ids=False)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_round_trip": op2_chat_round_trip,
         "op7_robust_outliers": op7_robust_outliers,
+        "op8_minhash_bayes": op8_minhash_bayes,
         "op9_secret_ledger": op9_secret_ledger,
+        "op10_segment_tree_bpe": op10_segment_tree_bpe,
     }
 
 
