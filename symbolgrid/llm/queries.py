@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolgrid.llm import bpe, chat, neardup, outliers, secret_ledger
+from symbolgrid.llm import bpe, chat, neardup, outliers, secret_ledger, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,11 @@ FROM written GROUP BY conv_id
 """
 
 
+def op4_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = outliers.judge(spark, table(spark, sf_dir, "documents"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -126,6 +131,7 @@ def op10_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_round_trip": op2_chat_round_trip,
+        "op4_suffix_automata": op4_suffix_automata,
         "op7_robust_outliers": op7_robust_outliers,
         "op8_minhash_bayes": op8_minhash_bayes,
         "op9_secret_ledger": op9_secret_ledger,
