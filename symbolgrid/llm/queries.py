@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolgrid.llm import bpe, chat, neardup, outliers, secret_ledger, substring
+from symbolgrid.llm import bpe, chat, langid, neardup, outliers, quality_gbt, secret_ledger, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,25 @@ def op4_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+def op5_histogram_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    trees = quality_gbt.fit(spark, docs, labels.filter(~held_out(F.col("doc_id"))))
+    scored = quality_gbt.score(spark, docs, trees)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality_gbt.CUT).cast("int").alias("predicted"))
+
+
+def op6_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(spark, docs.filter(~held_out(F.col("doc_id"))))
+    found = langid.identify(spark, docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = outliers.judge(spark, table(spark, sf_dir, "documents"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -132,6 +151,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_round_trip": op2_chat_round_trip,
         "op4_suffix_automata": op4_suffix_automata,
+        "op5_histogram_gbt": op5_histogram_gbt,
+        "op6_viterbi_language": op6_viterbi_language,
         "op7_robust_outliers": op7_robust_outliers,
         "op8_minhash_bayes": op8_minhash_bayes,
         "op9_secret_ledger": op9_secret_ledger,
