@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolgrid.llm import bpe, chat, langid, neardup, outliers, quality_gbt, secret_ledger, substring
+from symbolgrid.llm import bpe, chat, imi, langid, mixing, neardup, outliers, quality_gbt, secret_ledger, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imi.search_table(spark, table(spark, sf_dir, "embeddings"))
+
+
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -56,6 +60,10 @@ FROM written GROUP BY conv_id
 """
 
 
+def op3_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(spark, table(spark, sf_dir, "documents")).drop("content")
+
+
 def op4_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring.remove_repeats(spark, table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -149,7 +157,9 @@ def op10_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_inverted_multi_index": op1_inverted_multi_index,
         "op2_chat_round_trip": op2_chat_round_trip,
+        "op3_raked_mixing": op3_raked_mixing,
         "op4_suffix_automata": op4_suffix_automata,
         "op5_histogram_gbt": op5_histogram_gbt,
         "op6_viterbi_language": op6_viterbi_language,
