@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,6 +168,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_bayes": op8_minhash_bayes,
         "op9_secret_ledger": op9_secret_ledger,
         "op10_segment_tree_bpe": op10_segment_tree_bpe,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -108,9 +108,9 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     return scan_blobs(blobs, rules).dropDuplicates(["blob", "rule"])
 
 
-def findings_of_paths(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, blob, spans): every path with the spans of its blob at the present rule versions,
-    sorted by start, then by the order of the rules."""
+def findings_of_blobs(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans) of blobs with findings at the present rule versions, sorted by start, then by
+    the order of the rules."""
     now = F.lit(False)
     rank = F.lit(len(rules))
     for i, r in reversed(list(enumerate(rules))):
@@ -119,10 +119,27 @@ def findings_of_paths(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...
     present = ledger.filter(now & (F.size("spans") > 0))
     ranked = present.select("blob", F.expr("inline(spans)"), rank.alias("rank"))
     by_blob = ranked.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "stop", "kind"))).alias("found"))
-    by_blob = by_blob.select("blob", F.expr("transform(found, s -> struct(s.start as start, s.stop as stop, s.kind as kind))").alias("spans"))
+    return by_blob.select("blob", F.expr("transform(found, s -> struct(s.start as start, s.stop as stop, s.kind as kind))").alias("spans"))
+
+
+def findings_of_paths(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, blob, spans): every path with the spans of its blob, empty where nothing was found."""
     paths = docs.select("doc_id", blob_id(F.col("text")).alias("blob"))
-    empty = F.expr(f"cast(array() as {FINDINGS})")
-    return paths.join(by_blob, "blob", "left").select("doc_id", "blob", F.coalesce("spans", empty).alias("spans"))
+    found = paths.join(findings_of_blobs(ledger, rules), "blob", "left")
+    return found.select("doc_id", "blob", F.coalesce("spans", F.expr(f"cast(array() as {FINDINGS})")).alias("spans"))
+
+
+def redact_paths(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with the found spans masked in ``text`` and ``n_chars``, where there is one, brought
+    up to date; all other columns and texts without findings stay as they are."""
+    found = findings_of_blobs(ledger, rules).withColumnsRenamed({"blob": "found_blob", "spans": "found_spans"})
+    joined = docs.join(found, blob_id(docs["text"]) == F.col("found_blob"), "left")
+    hit = F.col("found_spans").isNotNull()
+    text = F.when(hit, redact(docs["text"], F.col("found_spans"))).otherwise(docs["text"])
+    new = {"text": text.alias("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(hit, F.length(text)).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return joined.select(*[new.get(c, docs[c]) for c in docs.columns])
 
 
 def spans_text(spans: Column) -> Column:
