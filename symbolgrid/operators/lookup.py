@@ -88,19 +88,21 @@ def scored(found: DataFrame, asked: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.withColumn("score", points)
 
 
-ORDER = [F.desc("score"), F.col("place"), F.col("path"), F.col("kind"), F.col("flags")]
+def best_first() -> list[Column]:
+    """A total order: score, then dictionary place, then path, kind and flags."""
+    return [F.desc("score"), F.col("place"), F.col("path"), F.col("kind"), F.col("flags")]
 
 
 def best_per_key(rows: DataFrame) -> DataFrame:
     """The best row per query and (name, qualifier or path, parent, module import or not)."""
     key = ["query_id", "name", F.coalesce("file_qualifier", "path"), "parent_qualifier", scoring.has(F.col("flags"), MODULE_IMPORT)]
-    best = F.row_number().over(Window.partitionBy(*key).orderBy(*ORDER))
+    best = F.row_number().over(Window.partitionBy(*key).orderBy(*best_first()))
     return rows.withColumn("best", best).filter("best = 1").drop("best")
 
 
 def top(rows: DataFrame) -> DataFrame:
     """Each query's best rows up to its limit, ``position`` from 1."""
-    position = F.row_number().over(Window.partitionBy("query_id").orderBy(*ORDER))
+    position = F.row_number().over(Window.partitionBy("query_id").orderBy(*best_first()))
     return rows.withColumn("position", position).filter(F.col("position") <= F.col("limit"))
 
 
