@@ -10,6 +10,7 @@ from __future__ import annotations
 import importlib
 import inspect
 import warnings
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,6 +103,12 @@ def python_modules(names: tuple[str, ...] | list[str] = tuple(PYTHON_MODULES)) -
     return rows
 
 
+def _each(stream) -> Iterator:
+    entries = stream.iterator()
+    while entries.hasNext():
+        yield entries.next()
+
+
 def java_packages(spark: SparkSession, names: tuple[str, ...] | list[str] = tuple(JAVA_PACKAGES)) -> list[tuple]:
     """Public top-level types of packages, as the session's virtual machine knows them."""
     jvm = spark._jvm
@@ -110,10 +117,10 @@ def java_packages(spark: SparkSession, names: tuple[str, ...] | list[str] = tupl
     loader, rows = jvm.java.lang.ClassLoader.getSystemClassLoader(), []
     for package in names:
         found = set()
-        for module in jvm.java.nio.file.Files.newDirectoryStream(image.getPath(f"/packages/{package}", none)):
+        for module in _each(jvm.java.nio.file.Files.newDirectoryStream(image.getPath(f"/packages/{package}", none))):
             folder = image.getPath(f"/modules/{module.getFileName().toString()}/{package.replace('.', '/')}", none)
             if jvm.java.nio.file.Files.isDirectory(folder, spark.sparkContext._gateway.new_array(jvm.java.nio.file.LinkOption, 0)):
-                for entry in jvm.java.nio.file.Files.newDirectoryStream(folder):
+                for entry in _each(jvm.java.nio.file.Files.newDirectoryStream(folder)):
                     stem = entry.getFileName().toString()
                     if stem.endswith(".class") and "$" not in stem and "-" not in stem:
                         found.add(stem.removesuffix(".class"))

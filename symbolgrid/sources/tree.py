@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 import sysconfig
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolgrid.functions import paths, text
-from symbolgrid.model import MAX_FILE_BYTES, MODULE, MODULE_IMPORT, STANDARD_LIBRARY, Settings
+from symbolgrid.model import EXTENSIONS, MAX_FILE_BYTES, MODULE, MODULE_IMPORT, STANDARD_LIBRARY, Settings
 
 SOURCE = "path string, lang string, content_hash string, mtime long, source string, file_qualifier string"
 #: Virtual environments below a root, and where they keep packages.
@@ -50,19 +53,92 @@ def excluded(relative: Column, globs: tuple[str, ...]) -> Column:
     return relative.rlike("^(?:" + "|".join(patterns) + ")(?:/.*)?$") if patterns else F.lit(False)
 
 
+def _file_system(root: str) -> tuple[pafs.FileSystem, str]:
+    if re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*:", root):
+        return pafs.FileSystem.from_uri(root)
+    return pafs.LocalFileSystem(), str(Path(root).absolute())
+
+
+def list_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), names: tuple[str, ...] = ()) -> DataFrame:
+    """path, mtime (milliseconds), length of the files below ``root``: those of a known language and
+    those called one of ``names``.
+
+    Spark's own file sources pass over names that start with ``_`` or ``.``, which are just the
+    package files of Python, so folders are listed by tasks, one for each folder below the root.
+    Excluded folders are not entered, links are not followed. Nothing is read yet.
+    """
+    suffixes = tuple(f".{e}" for group in EXTENSIONS.values() for e in group)
+    patterns = [p for p in map(glob_pattern, exclude) if p]
+    barred = re.compile("^(?:" + "|".join(patterns) + ")(?:/.*)?$") if patterns else None
+
+    def entries(fs: pafs.FileSystem, base: str, folder: str) -> Iterator[tuple[str, pafs.FileInfo]]:
+        for info in fs.get_file_info(pafs.FileSelector(folder)):
+            relative = info.path[len(base) :].lstrip("/")
+            below = relative + "/x" if info.type == pafs.FileType.Directory else relative
+            linked = isinstance(fs, pafs.LocalFileSystem) and Path(info.path).is_symlink()
+            if not linked and not (barred and barred.match(below)):
+                yield relative, info
+
+    def row(info: pafs.FileInfo) -> tuple[str, int, int] | None:
+        if info.type == pafs.FileType.File and (info.base_name.lower().endswith(suffixes) or info.base_name in names):
+            return info.path, int(info.mtime.timestamp() * 1000) if info.mtime else 0, info.size
+        return None
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = _file_system(root)
+        for batch in batches:
+            todo, found = batch["folder"].tolist(), []
+            while todo:
+                for _, info in entries(fs, base, todo.pop()):
+                    if info.type == pafs.FileType.Directory:
+                        todo.append(info.path)
+                    elif r := row(info):
+                        found.append(r)
+            yield pd.DataFrame(found, columns=["path", "mtime", "length"])
+
+    fs, base = _file_system(root)
+    schema = "path string, mtime long, length long"
+    if fs.get_file_info(base).type != pafs.FileType.Directory:
+        return spark.createDataFrame([], schema)
+    top = [info for _, info in entries(fs, base, base)]
+    here = spark.createDataFrame([r for info in top if (r := row(info))], schema)
+    folders = [(info.path,) for info in top if info.type == pafs.FileType.Directory]
+    if not folders:
+        return here
+    below = spark.createDataFrame(folders, "folder string").repartition(len(folders)).mapInPandas(walk, schema)
+    return here.unionByName(below)
+
+
+def with_content(listing: DataFrame, root: str) -> DataFrame:
+    """The listing with the ``content`` of each file, null for one that cannot be read."""
+    columns = [f"{f.name} {f.dataType.simpleString()}" for f in listing.schema]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, _ = _file_system(root)
+        for batch in batches:
+            for k in range(0, len(batch), 64):  # a few files at a time in memory
+                part = batch.iloc[k : k + 64]
+                content = []
+                for path in part["path"]:
+                    try:
+                        with fs.open_input_stream(path) as f:
+                            content.append(f.read())
+                    except OSError:
+                        content.append(None)
+                yield part.assign(content=content)
+
+    return listing.mapInPandas(read, ", ".join([*columns, "content binary"]))
+
+
 def read_tree(spark: SparkSession, root: str, settings: Settings | None = None) -> DataFrame:
     """path, lang, mtime, length and content of the files below ``root`` that a scan wants.
 
-    Language, size and globs are decided on the listing's columns, so the content of other files
-    is never read. Paths come without their scheme.
+    Language, size and globs are decided on the listing, so no other file is opened.
     """
     settings = settings or Settings(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?(?=/)", "")
-    rows = files.select(path.alias("path"), F.unix_millis("modificationTime").alias("mtime"), "length", "content")
-    base = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?(?=/)", "", root).rstrip("/")
-    rows = rows.withColumn("lang", paths.language_of(F.col("path"))).filter(F.col("lang").isin(*settings.languages))
-    return rows.filter(~excluded(F.substr(F.col("path"), F.lit(len(base) + 2)), settings.exclude))
+    listing = list_tree(spark, root, settings.exclude)
+    wanted = listing.withColumn("lang", paths.language_of(F.col("path"))).filter(F.col("lang").isin(*settings.languages) & (F.col("length") <= MAX_FILE_BYTES))
+    return with_content(wanted, root).filter("content is not null")
 
 
 def decoded(files: DataFrame) -> DataFrame:
