@@ -11,11 +11,12 @@ from symbolgrid import model
 from symbolgrid.functions import context, names, paths, scoring, text
 from symbolgrid.operators import incremental, lookup, reexport, stats
 from symbolgrid.plans import projection as p
+from symbolgrid.plans import samples
 from symbolgrid.sources import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(samples.QUERIES)
+SQL: dict[str, str] = dict(samples.SQL)
 
 
 def query(sql: str | None = None):
@@ -275,7 +276,7 @@ def index_stats(spark, sf_dir):
     return stats.index_stats(p.exports(spark, sf_dir))
 
 
-@query("""SELECT count(*) FILTER (o_orderstatus IN ('F', 'O')) AS parsed, 0 AS skipped_large,
+@query("""SELECT count(*) FILTER (o_orderstatus IN ('F', 'O')) AS parsed, CAST(0 AS BIGINT) AS skipped_large,
   count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS parse_failures, count(*) FILTER (o_orderstatus = 'O') AS python_regex_fallbacks FROM orders""")
 def indexer_counters(spark, sf_dir):
     status = F.when(F.col("o_orderstatus") == "F", "parsed").when(F.col("o_orderstatus") == "O", "fallback").otherwise("failed")
