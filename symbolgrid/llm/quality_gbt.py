@@ -170,7 +170,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     """
     known = labels.filter("label is not null and doc_id is not null").groupBy(F.col("doc_id").alias("known")).agg(F.min("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("known"), "known").limit(sample)
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("known")).select(F.col("doc_id").cast("long"), F.col("label").cast("int").alias("label"), "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("known")).select(F.col("doc_id").cast("long"), F.col("label").cast("int").alias("label"), "text")
     table = rows.mapInArrow(_measure, "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     x = np.stack(table["x"].to_list()) if len(table) else np.zeros((0, len(STATISTICS)))
     return train(x, table["label"].to_numpy(dtype=np.float64))
