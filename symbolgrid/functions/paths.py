@@ -10,6 +10,8 @@ from symbolgrid.model import EXTENSIONS, GROUPS
 #: Score of the number of steps between two directories; farther is 0.
 PROXIMITY = {0: 80, 1: 55, 2: 35, 3: 20, 4: 8, 5: 8}
 EXTERNAL = -25
+#: Root of the files that stand for library modules; their paths are keys, not places.
+LIBRARY_ROOT = "$stdlib"
 
 
 def extension(path: Column) -> Column:
@@ -115,7 +117,7 @@ def node_specifier(target: Column, manifest_name: Column | None = None) -> Colum
 
 def synthetic_path(lang: Column, qualifier: Column, ext: Column) -> Column:
     safe = F.regexp_replace(qualifier, "[^A-Za-z0-9]", "_")
-    return F.concat(F.lit("$auto-import-stdlib/"), lang, F.lit("/"), safe, F.lit("."), ext)
+    return F.concat(F.lit(f"{LIBRARY_ROOT}/"), lang, F.lit("/"), safe, F.lit("."), ext)
 
 
 def dotted(relative: Column) -> Column:

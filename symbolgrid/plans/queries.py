@@ -429,7 +429,7 @@ def java_fqcn(spark, sf_dir):
     return p.exports(spark, sf_dir).select("sym_id", text.java_name(package, parent, F.col("name")).alias("fqcn"))
 
 
-@query("""SELECT p_partkey, '$auto-import-stdlib/python/' || regexp_replace(p_name, '[^A-Za-z0-9]', '_', 'g') || '.py' AS path FROM part""")
+@query("""SELECT p_partkey, '$stdlib/python/' || regexp_replace(p_name, '[^A-Za-z0-9]', '_', 'g') || '.py' AS path FROM part""")
 def synthetic_path(spark, sf_dir):
     return p.table(spark, sf_dir, "part").select("p_partkey", paths.synthetic_path(F.lit("python"), F.col("p_name"), F.lit("py")).alias("path"))
 

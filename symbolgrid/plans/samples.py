@@ -122,10 +122,10 @@ _EDITS = [
     ("/w/b.ts", "import {\n  getUser,\n} from './user';\n", "User", "/w/user.ts", None, None, 0),
     ("/w/c.ts", "import { User } from './user';\n", "UserId", "/w/user.ts", None, None, 2),
     ("/w/d.ts", "import d from './user';\n", "User", "/w/user.ts", None, None, 0),
-    ("/w/e.ts", "// top\nx()\n", "fs", "$auto-import-stdlib/node/node_fs.ts", "node:fs", None, MODULE_IMPORT),
+    ("/w/e.ts", "// top\nx()\n", "fs", "$stdlib/node/node_fs.ts", "node:fs", None, MODULE_IMPORT),
     ("/w/f.ts", "import { User } from './user';\n", "User", "/w/user.ts", None, None, 0),
     ("/w/g.py", "from pkg.models import (\n    Account  # keep\n)\n", "Invoice", "/w/pkg/models.py", "pkg.models", None, 0),
-    ("/w/h.py", '"""doc"""\nx = 1\n', "Path", "$auto-import-stdlib/python/pathlib.py", "pathlib", None, 0),
+    ("/w/h.py", '"""doc"""\nx = 1\n', "Path", "$stdlib/python/pathlib.py", "pathlib", None, 0),
     ("/w/I.java", "package com.x;\nimport java.util.List;\nclass I {}\n", "Inner", "/w/com/example/Foo.java", "com.example", "Foo", 16),
 ]
 
