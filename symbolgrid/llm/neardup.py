@@ -7,8 +7,10 @@
    5e-6 here.
 3. A bucket first proposes its members against one centre (a star: as many pairs as members).
    Pairs are verified and components contracted. Buckets that still hold members of different
-   components then propose a further round of stars, and at last exactly the pairs across
-   components that nobody has compared: no link is lost and no group is expanded into all pairs.
+   components propose one more round of stars. What is left is settled block by block: a task
+   holds a bounded block of a bucket's members and compares those of different components in
+   place, each pair in the first band it shares. No link is lost, and no table of pairs of a
+   group is ever made.
 4. Verification compares signatures batch by batch. After each batch a pair is dropped when the
    posterior probability (uniform prior) that its similarity reaches the threshold is below
    ``MISS``; survivors are verified on their full sets.
@@ -33,6 +35,8 @@ ROWS, BANDS, BATCH, MISS = 4, 32, 32, 1e-7
 HASHES = ROWS * BANDS
 #: Pairs of one centre that a task gets at a time; a centre with more is dealt to several tasks.
 PAIRS_PER_TASK = 500
+#: Members of a bucket in one block; two blocks at most meet in a task.
+BLOCK = 512
 
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -93,8 +97,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.cumsum(mix(hashes ^ np.uint64(salt)), out=total[1:])
                 sums.append((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), _binary(signatures(hashes, offsets))],
-                names=["doc_id", "n_shingles", "print1", "print2", "signature"],
+                [part.column("doc_id"), part.column("content"), pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), _binary(signatures(hashes, offsets))],
+                names=["doc_id", "content", "n_shingles", "print1", "print2", "signature"],
             )
 
 
@@ -163,11 +167,78 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[list]]]:
+    """Rows that come sorted by (bucket, lo, hi), gathered by that key."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ["bucket", "lo", "hi", *columns]), strict=True):
+            if row[:3] != key:
+                if rows:
+                    yield key, [list(x) for x in zip(*rows, strict=True)]
+                key, rows = row[:3], []
+            rows.append(row[3:])
+    if rows:
+        yield key, [list(x) for x in zip(*rows, strict=True)]
+
+
+def open_pairs(band: int, lo: int, hi: int, chunk: np.ndarray, label: np.ndarray, signs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a block the later rows that are still to be verified with it: of another
+    component, sharing no earlier band, and not pruned by the posterior bounds."""
+    for i in range(len(label) - 1):
+        rest = np.arange(i + 1, len(label))
+        rest = rest[(label[rest] != label[i]) & ((lo == hi) | (chunk[rest] != chunk[i]))]
+        if band and len(rest):
+            same = (signs[rest, : ROWS * band] == signs[i, : ROWS * band]).reshape(len(rest), band, ROWS)
+            rest = rest[~same.all(axis=2).any(axis=1)]
+        if len(rest):
+            yield i, rest[bayes_survivors(np.broadcast_to(signs[i], (len(rest), HASHES)), signs[rest])]
+
+
+def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of a block that have any pair to verify."""
+    for key, (band, chunk, ids, label, signs) in _blocks(batches, ["band", "chunk", "id", "label", "signature"]):
+        matrix = np.frombuffer(b"".join(signs), dtype=np.uint32).reshape(-1, HASHES)
+        found = np.zeros(len(ids), dtype=bool)
+        for i, rest in open_pairs(band[0], key[1], key[2], np.array(chunk), np.array(label), matrix):
+            found[rest] = True
+            found[i] |= len(rest) > 0
+        some = [x for x, f in zip(ids, found.tolist(), strict=True) if f]
+        n = len(some)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0]] * n, pa.int64()), pa.array([key[1]] * n, pa.int32()), pa.array([key[2]] * n, pa.int32()), pa.array(some, pa.int64())], names=["bucket", "lo", "hi", "id"]
+        )
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a block that join components which earlier links of the block have not joined."""
+    for key, (band, chunk, ids, label, signs, sets) in _blocks(batches, ["band", "chunk", "id", "label", "signature", "shingles"]):
+        matrix = np.frombuffer(b"".join(signs), dtype=np.uint32).reshape(-1, HASHES)
+        own = [np.frombuffer(x, dtype=np.uint64) for x in sets]
+        root = {x: x for x in label}
+
+        def find(x: int, root: dict = root) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        a, b = [], []
+        for i, rest in open_pairs(band[0], key[1], key[2], np.array(chunk), np.array(label), matrix):
+            for j in rest.tolist():
+                x, y = find(label[i]), find(label[j])
+                if x != y and linked(own[i], own[j]):
+                    root[max(x, y)] = min(x, y)
+                    a.append(ids[i])
+                    b.append(ids[j])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 class _Run:
     def __init__(self, spark: SparkSession, docs: DataFrame):
         self.spark, self.store = spark, Store(spark, "neardup")
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-        schema = "doc_id long, n_shingles long, print1 long, print2 long, signature binary"
+        content = F.xxhash64(F.coalesce("text", F.lit(""))).alias("content")
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content, "text").filter("doc_id is not null")
+        schema = "doc_id long, content long, n_shingles long, print1 long, print2 long, signature binary"
         self.signed = self.store.put("signed", self.docs.mapInArrow(_sign, schema))
         prints = ["n_shingles", "print1", "print2"]
         classes = self.signed.filter("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -175,16 +246,17 @@ class _Run:
         rep = self.classes.select(F.col("rep"), *[F.col(c).alias(f"rep_{c}") for c in prints])
         own = [F.col(c) == F.col(f"rep_{c}") for c in prints]
         signs = self.signed.join(rep, [F.col("doc_id") == F.col("rep"), *own]).dropDuplicates(["doc_id"])
-        self.signs = self.store.put("signs", signs.select(F.col("rep").alias("id"), "signature"))
+        self.signs = self.store.put("signs", signs.select(F.col("rep").alias("id"), "content", "signature"))
         bands = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])
-        rows = self.signs.select("id", F.explode(bands).alias("bucket"))
+        rows = self.signs.select("id", F.posexplode(bands).alias("band", "bucket"))
         shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("centre")).filter("n > 1").drop("n")
         self.members = self.store.put("members", rows.join(shared, "bucket"))
-        self.known = None
 
     def shingles(self, ids: DataFrame, name: str) -> DataFrame:
         """Full sets of the texts of ``ids``(id)."""
-        texts = self.docs.join(ids.withColumnRenamed("id", "wanted").hint("shuffle_hash"), F.col("doc_id") == F.col("wanted"))
+        wanted = ids.join(self.signs, "id").select(F.col("id").alias("wanted"), F.col("content").alias("wanted_content"))
+        same = (F.col("doc_id") == F.col("wanted")) & (F.col("content") == F.col("wanted_content"))
+        texts = self.docs.join(wanted.hint("shuffle_hash"), same)
         texts = texts.select(F.col("doc_id").alias("id"), "text")
         return self.store.put(name, texts.mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"]))
 
@@ -204,6 +276,35 @@ class _Run:
         return self.store.put(f"links-{name}", dealt.mapInArrow(_verify, "a long, b long"))
 
 
+    def mixed(self, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of buckets that hold several components, with their labels; and those buckets."""
+        known = labels.withColumnsRenamed({"label": "known"})
+        rows = self.members.join(known, "id", "left").select("bucket", "band", "id", F.coalesce("known", "id").alias("label"))
+        buckets = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high")
+        return rows, buckets
+
+    def settle(self, labels: DataFrame) -> DataFrame:
+        """The links that remain between components, found block by block."""
+        rows, buckets = self.mixed(labels)
+        chunks = F.ceil(F.col("size") / BLOCK).cast("int")
+        placed = rows.join(buckets.select("bucket", chunks.alias("chunks")), "bucket")
+        placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+        placed = placed.select("bucket", "band", "id", "label", "chunk", other)
+        placed = placed.select("bucket", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "band", "chunk", "id", "label")
+        placed = self.store.put("blocks", placed)
+
+        def dealt(rows: DataFrame) -> DataFrame:
+            return rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "id")
+
+        signs = self.signs.drop("content")
+        signed = placed.join(signs, "id")
+        flags = self.store.put("flags", dealt(signed).mapInArrow(_flag, "bucket long, lo int, hi int, id long"))
+        sets = self.shingles(flags.select("id").distinct(), "sets-blocks")
+        left = placed.join(flags, ["bucket", "lo", "hi", "id"]).join(signs, "id").join(sets, "id")
+        return self.store.put("links-blocks", dealt(left).mapInArrow(_settle, "a long, b long"))
+
+
 def components(store: Store, links: DataFrame, name: str) -> DataFrame:
     """(id, label): the smallest id of the component of every id in links(a, b).
 
@@ -230,7 +331,7 @@ def components(store: Store, links: DataFrame, name: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, content (hash of the text).
 
     Columns used: doc_id, text; others are ignored. Null and empty texts have no shingles, are
     linked with nothing and are their own component. Rows with a null doc_id can be in no
@@ -242,28 +343,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     tested = run.store.put("pairs-1", centre.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
     links = run.verify(tested, "1")
     labels = components(run.store, links, "1")
-    for k in (2, 3):
-        known = labels.withColumnsRenamed({"label": "known"})
-        open_ = run.members.join(known, "id", "left").select("bucket", "id", F.coalesce("known", "id").alias("label"))
-        mixed = open_.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        open_ = open_.join(mixed, "bucket")
-        if k == 2:  # a star around the smallest member outside the first component
-            centres = open_.filter("label != low").groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("c"))
-            found = open_.join(centres, "bucket").filter("label != c.label").select(F.col("c.id").alias("x"), F.col("id").alias("y"))
-        else:  # whatever is left across components
-            x = open_.select("bucket", F.col("id").alias("x"), F.col("label").alias("label_x"))
-            y = open_.select("bucket", F.col("id").alias("y"), F.col("label").alias("label_y"))
-            found = x.join(y, "bucket").filter("label_x < label_y").select("x", "y")
-        fresh = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = run.store.put(f"pairs-{k}", fresh)
-        if not fresh.limit(1).count():
-            break
-        tested = tested.unionByName(fresh)
-        more = run.verify(fresh, str(k))
-        links = links.unionByName(more)
-        labels = components(run.store, links, str(k))
+    # A second star, around the smallest member outside a bucket's first component.
+    rows, buckets = run.mixed(labels)
+    rows = rows.join(buckets.select("bucket", "low"), "bucket")
+    centres = rows.filter("label != low").groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("c"))
+    found = rows.join(centres, "bucket").filter("label != c.label").select(F.col("c.id").alias("x"), F.col("id").alias("y"))
+    pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    links = links.unionByName(run.verify(run.store.put("pairs-2", pairs), "2"))
+    labels = components(run.store, links, "2")
+    links = links.unionByName(run.settle(labels))
+    labels = components(run.store, links, "3")
     prints = ["n_shingles", "print1", "print2"]
     classes = run.classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*prints, F.coalesce("label", "rep").alias("label"))
-    out = run.signed.select("doc_id", *prints).join(classes, prints, "left")
+    out = run.signed.select("doc_id", "content", *prints).join(classes, prints, "left")
     component = F.coalesce("label", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), "content")

@@ -156,6 +156,7 @@ def _near(spark, docs, out):
     got = sorted(r.doc_id for r in out.collect() if r.doc_id is not None)
     assert got == kept
     assert 200 in got and 201 not in got and 202 not in got
+    assert [r.text.split()[-1] for r in out.collect() if r.doc_id == 204] == ["token=abcdefgh12"]  # its other row is a copy
 
 
 def _secrets(spark, docs, out):
