@@ -5,12 +5,11 @@
 2. Signatures of ``HASHES`` values are cut into ``BANDS`` bands. Texts that agree on a band meet in
    a bucket. A pair at the threshold misses every band with probability (1 - t**ROWS)**BANDS,
    5e-6 here.
-3. A bucket first proposes its members against one centre (a star: as many pairs as members).
-   Pairs are verified and components contracted. Buckets that still hold members of different
-   components propose one more round of stars. What is left is settled block by block: a task
-   holds a bounded block of a bucket's members and compares those of different components in
-   place, each pair in the first band it shares. No link is lost, and no table of pairs of a
-   group is ever made.
+3. A bucket first proposes its members against two of them, those of smallest and of largest id
+   (stars: twice as many pairs as members). Pairs are verified and components contracted. Buckets
+   that still hold members of different components are settled block by block: a task holds a
+   bounded block of a bucket's members and compares those of different components in place, each
+   pair in the first band it shares. No link is lost, and no table of pairs of a group is ever made.
 4. Verification compares signatures batch by batch. After each batch a pair is dropped when the
    posterior probability (uniform prior) that its similarity reaches the threshold is below
    ``MISS``; survivors are verified on their full sets.
@@ -249,7 +248,7 @@ class _Run:
         self.signs = self.store.put("signs", signs.select(F.col("rep").alias("id"), "content", "signature"))
         bands = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])
         rows = self.signs.select("id", F.posexplode(bands).alias("band", "bucket"))
-        shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("centre")).filter("n > 1").drop("n")
+        shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).filter("n > 1").drop("n")
         self.members = self.store.put("members", rows.join(shared, "bucket"))
 
     def shingles(self, ids: DataFrame, name: str) -> DataFrame:
@@ -313,6 +312,8 @@ def components(store: Store, links: DataFrame, name: str) -> DataFrame:
     a component's width and nothing reaches the driver but one count.
     """
     edges = store.put(f"edges-{name}", links.select("a", "b").union(links.select("b", "a")).distinct())
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
     start = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
     labels, k = store.put(f"labels-{name}-0", start), 0
     while True:
@@ -326,7 +327,7 @@ def components(store: Store, links: DataFrame, name: str) -> DataFrame:
         after = store.put(f"labels-{name}-{k}", hooked.select("id", F.col("next").alias("label"), (F.col("next") < F.col("label")).alias("fell")))
         store.drop(f"labels-{name}-{k - 1}")
         labels = after.select("id", "label")
-        if not after.filter("fell").limit(1).count():
+        if after.filter("fell").isEmpty():
             return labels
 
 
@@ -339,22 +340,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     a doc_id but not a text are one node of the link graph. An empty table gives no rows.
     """
     run = _Run(spark, docs)
-    centre = run.members.filter("id != centre")
-    tested = run.store.put("pairs-1", centre.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
-    links = run.verify(tested, "1")
-    labels = components(run.store, links, "1")
-    # A second star, around the smallest member outside a bucket's first component.
-    rows, buckets = run.mixed(labels)
-    rows = rows.join(buckets.select("bucket", "low"), "bucket")
-    centres = rows.filter("label != low").groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("c"))
-    found = rows.join(centres, "bucket").filter("label != c.label").select(F.col("c.id").alias("x"), F.col("id").alias("y"))
-    pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    links = links.unionByName(run.verify(run.store.put("pairs-2", pairs), "2"))
-    labels = components(run.store, links, "2")
-    links = links.unionByName(run.settle(labels))
-    labels = components(run.store, links, "3")
+    ends = run.members.select(F.col("first").alias("a"), F.col("id").alias("b")).unionByName(run.members.select(F.col("id").alias("a"), F.col("last").alias("b")))
+    pairs = run.store.put("pairs", ends.filter("a < b").distinct())
+    labels = components(run.store, run.verify(pairs, "stars"), "stars")
+    # Links between components join labels, so only the contracted graph is walked again.
+    more = run.settle(labels)
+    inner = labels.withColumnRenamed("label", "inner")
+    for end in ("a", "b"):
+        more = more.join(inner.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("inner", end)).drop("inner")
+    outer = components(run.store, run.store.put("contracted", more.filter("a != b")), "blocks").withColumnsRenamed({"id": "inner", "label": "outer"})
     prints = ["n_shingles", "print1", "print2"]
-    classes = run.classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*prints, F.coalesce("label", "rep").alias("label"))
+    classes = run.classes.join(inner.withColumnRenamed("id", "rep"), "rep", "left").withColumn("inner", F.coalesce("inner", "rep"))
+    classes = classes.join(outer, "inner", "left").select(*prints, F.coalesce("outer", "inner").alias("label"))
     out = run.signed.select("doc_id", "content", *prints).join(classes, prints, "left")
     component = F.coalesce("label", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), "content")
