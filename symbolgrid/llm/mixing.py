@@ -112,7 +112,9 @@ def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, fl
     rows = store.put("rows", describe(docs))
     cells = store.put("cells", rows.groupBy(*KEYS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")))
     given = {key: spark.createDataFrame([(k, float(v)) for k, v in shares.items()], f"{key} string, target double") for key, shares in (targets or {}).items()}
-    raked = rake(store, cells, {key: given.get(key) or tempered(cells, key) for key in KEYS})
+    # Targets are written once: a sweep reads them and does not derive them again.
+    target = {key: store.put(f"target-{key}", given[key] if key in given else tempered(cells, key)) for key in KEYS}
+    raked = rake(store, cells, target)
     weights = store.put("calibrated", calibrate(raked, budget).select(*KEYS, "probability"))
     joined = rows.join(weights, list(KEYS), "left")
     probability = F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("probability", F.lit(0.0)))
