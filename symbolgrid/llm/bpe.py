@@ -5,6 +5,8 @@ of the live token that starts at byte i and its live right neighbour (nothing, i
 merge), so the root is the leftmost pair of minimum rank. A merge takes the right neighbour out
 and changes three leaves (the merged token, its left neighbour, the token taken out), each with a
 walk of log2(n) steps to the root. Encoding a piece is O(n log n), whatever its length.
+
+Short pieces that a batch has not met yet go through the same tree together, one array row each.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from symbolgrid.llm.words import filled, pieces
 
 #: Pieces whose ids a worker remembers; beyond it the memory starts anew (results do not depend on it).
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: Pieces of at most so many bytes are merged in rows of an array; longer ones one by one.
+SHORT = 64
 _NONE = 1 << 62
 
 
@@ -81,35 +85,123 @@ def merge_order(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class _Memory(dict):
-    """Ids of a piece of text, as little-endian 32-bit integers."""
+class PairRanks:
+    """Ranks of pairs of tokens by binary search: every split of a token into two tokens."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        whole = self.ranks.get(raw)
-        ids = [whole] if whole is not None else merge_order(raw, self.ranks)
-        found = np.array(ids, dtype="<u4").tobytes()
-        if len(raw) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = found
-        return found
+        keys, found = [], []
+        for raw, rank in ranks.items():
+            for cut in range(1, len(raw)):
+                a, b = ranks.get(raw[:cut]), ranks.get(raw[cut:])
+                if a is not None and b is not None:
+                    keys.append(a << 32 | b)
+                    found.append(rank)
+        order = np.argsort(np.array(keys, dtype=np.int64))
+        self.keys = np.append(np.array(keys, dtype=np.int64)[order], np.iinfo(np.int64).max)
+        self.ranks = np.append(np.array(found, dtype=np.int64)[order], 0)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 where the two do not merge."""
+        key = a << 32 | b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], -1)
+
+
+def merge_rows(rows: list[bytes], pair_rank: PairRanks, byte_ids: np.ndarray) -> list[bytes]:
+    """Ids of many pieces of 2 to SHORT bytes, as little-endian 32-bit integers: one segment tree a row."""
+    out: list[bytes] = [b""] * len(rows)
+    lengths = np.array([len(r) for r in rows])
+    sizes = 1 << np.ceil(np.log2(lengths)).astype(np.int64)
+    for size in np.unique(sizes).tolist():
+        pick = np.flatnonzero(sizes == size)
+        n, m = lengths[pick], len(pick)
+        shift = size.bit_length()
+        raw = np.frombuffer(b"".join(rows[k].ljust(size, b"\0") for k in pick.tolist()), dtype=np.uint8).reshape(m, size)
+        token = byte_ids[raw]
+        live = np.arange(size) < n[:, None]
+        following = np.tile(np.arange(1, size + 1), (m, 1))
+        before = np.tile(np.arange(-1, size), (m, 1))
+        tree = np.full((m, 2 * size), _NONE, dtype=np.int64)
+        first = pair_rank(token[:, :-1], token[:, 1:])
+        tree[:, size:-1] = np.where((first >= 0) & live[:, 1:], first << shift | np.arange(size - 1), _NONE)
+        for level in range(size.bit_length() - 2, -1, -1):
+            at = 1 << level
+            tree[:, at : 2 * at] = np.minimum(tree[:, 2 * at : 4 * at : 2], tree[:, 2 * at + 1 : 4 * at : 2])
+
+        def put(row: np.ndarray, leaf: np.ndarray, value: np.ndarray, tree=tree, size=size) -> None:
+            at = size + leaf
+            tree[row, at] = value
+            while at[0] > 1:
+                at = at >> 1
+                tree[row, at] = np.minimum(tree[row, 2 * at], tree[row, 2 * at + 1])
+
+        row = np.flatnonzero(tree[:, 1] != _NONE)
+        while len(row):
+            low = tree[row, 1]
+            i = low & ((1 << shift) - 1)
+            j = following[row, i]
+            end = following[row, j]
+            merged = low >> shift
+            token[row, i] = merged
+            live[row, j] = False
+            following[row, i] = end
+            before[row, end] = i
+            put(row, j, np.full(len(row), _NONE))
+            inside = end < n[row]
+            rank = pair_rank(merged, token[row, np.minimum(end, size - 1)])
+            put(row, i, np.where(inside & (rank >= 0), rank << shift | i, _NONE))
+            left = before[row, i]
+            some = np.flatnonzero(left >= 0)
+            if len(some):
+                at, left = row[some], left[some]
+                rank = pair_rank(token[at, left], merged[some])
+                put(at, left, np.where(rank >= 0, rank << shift | left, _NONE))
+            row = row[tree[row, 1] != _NONE]
+        ids = token[live].astype("<u4").tobytes()
+        stops = (4 * np.cumsum(live.sum(axis=1))).tolist()
+        start = 0
+        for k, stop in zip(pick.tolist(), stops, strict=True):
+            out[k] = ids[start:stop]
+            start = stop
+    return out
 
 
 class Codec:
+    """Encoder and decoder for one rank file; every single byte must have a rank."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.memory = _Memory(ranks)
+        self.ranks, self.memory = ranks, {}
         self.find = regex.compile(pattern).findall
         self.bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for raw, i in ranks.items():
             self.bytes[i] = raw
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.memory.__getitem__, self.find(text)))
+        self.pair_rank = PairRanks(ranks)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+
+    def _learn(self, found: set[str]) -> None:
+        unseen = found - self.memory.keys()
+        if len(self.memory) + len(unseen) > REMEMBERED:
+            self.memory.clear()
+            unseen = found
+        rows: list[tuple[str, bytes]] = []
+        for piece in unseen:
+            raw = piece.encode()
+            whole = self.ranks.get(raw)
+            if whole is not None:
+                self.memory[piece] = whole.to_bytes(4, "little")
+            elif len(raw) <= SHORT:
+                rows.append((piece, raw))
+            else:
+                self.memory[piece] = np.array(merge_order(raw, self.ranks), dtype="<u4").tobytes()
+        if rows:
+            self.memory.update(zip((p for p, _ in rows), merge_rows([r for _, r in rows], self.pair_rank, self.byte_ids), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text, as little-endian 32-bit integers."""
+        lists = [self.find(t) for t in texts]
+        self._learn(set().union(*lists))
+        ids = self.memory.__getitem__
+        return [b"".join(map(ids, x)) for x in lists]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -136,8 +228,8 @@ def encode_column(docs: DataFrame, codec, ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _codec(*codec.value)
         for batch in batches:
-            for part in pieces(batch, "text"):
-                codes = [c.encode(t) for t in filled(part.column("text")).to_pylist()]
+            for part in pieces(batch, "text", 1 << 20):
+                codes = c.encode(filled(part.column("text")).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
