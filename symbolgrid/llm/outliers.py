@@ -30,8 +30,9 @@ BINS_PER_DOUBLING, LOWEST, HIGHEST = 8, -10, 30
 FLOORS = (0.12, 0.2, 0.25, 0.2, 0.25)
 #: Weight, in documents, of the floors in a group's covariance; steadies groups of few documents.
 PRIOR = 10.0
-#: Median of a chi-square variable with five degrees of freedom, and the cutoff on its scale.
-CHI2_MEDIAN, CUTOFF = 4.351, 60.0
+#: A chi-square variable with five degrees of freedom: its median, and as the cutoff its 0.99999
+#: quantile: of 100,000 documents that vary as their group does, one is rejected.
+CHI2_MEDIAN, CUTOFF = 4.351, 30.856
 P = len(FLOORS)
 FEATURES = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
@@ -159,7 +160,13 @@ def robust_start(rows: DataFrame) -> DataFrame:
 
 
 def concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """One concentration step; ``scale`` makes the median squared distance that of chi-square."""
+    """One concentration step; ``scale`` makes the median squared distance that of chi-square.
+
+    The floors are in the covariance once as what clean text may differ by, and again, with weight
+    PRIOR / (n + PRIOR), as its prior. This is at most 1 + PRIOR / (n + PRIOR) times the covariance
+    with floors counted once, so distances come out too small by that at most. It is the least
+    that ``scale`` takes back.
+    """
     grid = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(2.0**LOWEST))) * BINS_PER_DOUBLING)
     binned = with_distance(rows, estimate.drop("scale")).withColumn("bin", F.least(grid, F.lit(HIGHEST * BINS_PER_DOUBLING)))
     moments = binned.groupBy("lang", "source", "bin").agg(
@@ -185,7 +192,7 @@ def concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
         cov = F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")
         floor = FLOORS[i] ** 2 if i == j else 0.0
         spread[f"c_{i}_{j}"] = (cov * F.col("n") + PRIOR * floor) / (F.col("n") + PRIOR) + floor
-    scale = F.greatest(F.col("median") / CHI2_MEDIAN, F.lit(1.0))
+    scale = F.greatest(F.col("median") / CHI2_MEDIAN, 1 / (1 + PRIOR / (F.col("n") + PRIOR)))
     out = out.withColumns(spread).withColumn("scale", scale)
     names = [f"m_{i}" for i in range(P)] + [f"c_{i}_{j}" for i, j in PAIRS]
     return cholesky(out.select("lang", "source", "scale", *names))

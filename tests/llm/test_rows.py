@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import struct
@@ -90,6 +91,22 @@ def test_estimate_resists_a_third_of_outliers(spark, documents):
     assert not any(kept[1000 + k] for k in range(80))
 
 
+def test_cutoff_is_the_stated_quantile():
+    x = outliers.CUTOFF  # the upper tail of chi-square with five degrees of freedom in closed form
+    tail = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+    assert tail == pytest.approx(1e-5, rel=1e-3)
+
+
+def test_planted_menus_go_and_clean_text_stays(spark, documents):
+    rng = random.Random(9)
+    clean = [(k, prose(rng, rng.randrange(20, 200)) + rng.choice(["", "", " a & b", " #1", " <b>"]), "en", "s") for k in range(200)]
+    menus = [(1000 + k, " | ".join(prose(rng, 12).split(" ")), "en", "s") for k in range(40)]
+    got = {r.doc_id: r for r in outliers.judge(spark, documents(clean + menus)).collect()}
+    assert all(got[i].kept for i, *_ in clean)
+    assert not any(got[i].kept for i, *_ in menus)
+    assert all(30 < got[i].distance ** 2 < 60 for i, *_ in menus)  # near enough to pass a cutoff of 60
+
+
 # -- secrets ------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
