@@ -47,8 +47,15 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled by the raked probabilities of their source, language and topic (3)."""
-    return _only(docs, mixing.sample(spark, docs).filter("selected"))
+    """Documents are sampled at the raked rates of their source, language and topic (3); those of
+    scarce cells are repeated."""
+    wanted = mixing.sample(spark, docs).filter("selected")
+    keys = wanted.select(F.col("doc_id").alias("wanted_id"), F.col("content").alias("wanted_content"), F.col("copies").alias("wanted_copies")).distinct()
+    content = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = docs["doc_id"].eqNullSafe(F.col("wanted_id")) & (content == F.col("wanted_content"))
+    rows = docs.join(keys.hint("shuffle_hash"), same)
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("wanted_copies"))).alias("wanted_time")
+    return rows.select(*[docs[c] for c in docs.columns], times).drop("wanted_time")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

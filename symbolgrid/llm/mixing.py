@@ -2,8 +2,10 @@
 
 Documents fall into cells (source, language, topic). The cells' token counts are raked: scaled to
 the target share of each source, then language, then topic, over and over, until all three
-marginals hold. A document's sampling probability is its cell's raked weight against the cell's
-tokens, calibrated so that the expected tokens meet the budget; a hash of the document decides.
+marginals hold. A document's rate, the expected number of its copies in the sample, is its cell's
+raked weight against the cell's tokens, times the budget. It is above 1 for scarce cells, which are
+repeated; clipping it would give back the mixture there was. A hash of the document decides on the
+fraction of the rate.
 
 Only cell totals are ever shuffled; a document's cell is joined back to it by key.
 """
@@ -27,7 +29,6 @@ TEMPER = 0.8
 SWEEPS, TOLERANCE = 20, 1e-4
 #: Share of all tokens that the sample is to hold.
 BUDGET = 0.9
-GRID = 400
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,25 +88,23 @@ def rake(store: Store, cells: DataFrame, targets: dict[str, DataFrame], sweeps:
 
 
 def calibrate(cells: DataFrame, budget: float) -> DataFrame:
-    """cells with ``probability``: min(1, c * weight / share of tokens), c being the largest step
-    of a fine geometric grid with which the expected share of tokens is at most ``budget``."""
-    shares = cells.select("tokens", "weight")
-    total = shares.agg(F.sum("tokens").alias("all"))
-    steps = F.explode(F.expr(f"transform(sequence(0, {GRID}), i -> pow(1.03D, i - {GRID // 2}))")).alias("c")
-    tried = shares.join(F.broadcast(total)).select("tokens", "all", (F.col("weight") * F.col("all") / F.col("tokens")).alias("factor"), steps)
-    expected = tried.groupBy("c").agg(F.sum(F.least(F.lit(1.0), F.col("c") * F.col("factor")) * F.col("tokens")).alias("expected"), F.first("all").alias("all"))
-    chosen = expected.filter(F.col("expected") <= F.lit(budget) * F.col("all")).agg(F.max("c").alias("c"))
-    factor = F.col("weight") * F.col("all") / F.col("tokens")
-    joined = cells.join(F.broadcast(total)).join(F.broadcast(chosen))  # one row each
-    return joined.withColumn("probability", F.least(F.lit(1.0), F.coalesce("c", F.lit(0.0)) * factor)).drop("c", "all")
+    """cells with ``rate``, the expected copies of a document: the sample's expected tokens are
+    ``budget`` of all tokens, and in every cell the raked share of that."""
+    total = cells.agg(F.sum("tokens").alias("all"), F.sum("weight").alias("whole"))
+    joined = cells.join(F.broadcast(total))  # one row
+    share = F.col("weight") / F.col("whole")
+    return joined.withColumn("rate", F.lit(budget * (1 - 1e-9)) * share * F.col("all") / F.col("tokens")).drop("all", "whole")  # rounding stays within the budget
 
 
 def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, seed: int = 17) -> DataFrame:
-    """One row per input row: doc_id, content, source, lang, topic, tokens, probability, selected.
+    """One row per input row: doc_id, content, source, lang, topic, tokens, probability, selected,
+    rate, copies.
 
+    ``copies`` is how often the row is in the sample: ``rate`` rounded down or up, ``rate`` in
+    expectation. ``selected`` says that it is there at all, which has ``probability``.
     ``targets`` maps source, lang or topic to target shares; a marginal not given is tempered.
     Columns used: doc_id, text, lang, source; others are ignored. Null source or lang are a
-    category of their own. Documents without words have no tokens to weigh: probability 1.
+    category of their own. Documents without words have no tokens to weigh: rate 1.
     Repeated rows are decided alike. An empty table gives no rows.
     """
     store = Store(spark, "mixing")
@@ -115,9 +114,10 @@ def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, fl
     # Targets are written once: a sweep reads them and does not derive them again.
     target = {key: store.put(f"target-{key}", given[key] if key in given else tempered(cells, key)) for key in KEYS}
     raked = rake(store, cells, target)
-    weights = store.put("calibrated", calibrate(raked, budget).select(*KEYS, "probability"))
+    weights = store.put("calibrated", calibrate(raked, budget).select(*KEYS, "rate"))
     joined = rows.join(weights, list(KEYS), "left")
-    probability = F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("probability", F.lit(0.0)))
+    joined = joined.withColumn("rate", F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("rate", F.lit(0.0))))
     dice = F.shiftrightunsigned(F.xxhash64("doc_id", "content", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    out = joined.withColumn("probability", probability)
-    return out.select("doc_id", "content", *KEYS, "tokens", "probability", (dice < F.col("probability")).alias("selected"))
+    copies = (F.floor("rate") + (dice < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+    probability = F.least(F.lit(1.0), F.col("rate"))
+    return joined.select("doc_id", "content", *KEYS, "tokens", probability.alias("probability"), (copies > 0).alias("selected"), "rate", copies.alias("copies"))

@@ -1,5 +1,6 @@
 """Search, mixing, and the pipeline."""
 
+import collections
 import random
 
 import numpy as np
@@ -121,6 +122,37 @@ def test_mixing_is_decided_by_the_document(spark, documents):
     assert once == again
 
 
+def marginal(rows, key, amount):
+    total = sum(amount(r) for r in rows)
+    return {v: sum(amount(r) for r in rows if r[key] == v) / total for v in {r[key] for r in rows}}
+
+
+@pytest.mark.parametrize("given", [None, {"lang": {"en": 0.25, "fr": 0.25, "de": 0.25, "es": 0.25}}])
+def test_sample_holds_the_raked_marginals_at_the_production_budget(spark, documents, given):
+    rng = random.Random(12)
+    rows = [(k, prose(rng, rng.randrange(20, 120)), rng.choices(["en", "fr", "de", "es"], [61, 17, 13, 9])[0], rng.choices(["hot", "a", "b"], [70, 24, 6])[0]) for k in range(1500)]
+    got = mixing.sample(spark, documents(rows), targets=given).collect()
+    total = sum(r.tokens for r in got)
+    assert sum(r.tokens * r.rate for r in got) / total == pytest.approx(mixing.BUDGET, abs=1e-6)
+    assert sum(r.tokens * r.copies for r in got) / total == pytest.approx(mixing.BUDGET, abs=0.03)
+    for key in mixing.KEYS:
+        raised = {v: x**mixing.TEMPER for v, x in marginal(got, key, lambda r: r.tokens).items()}
+        target = (given or {}).get(key) or {v: x / sum(raised.values()) for v, x in raised.items()}
+        expected, held = marginal(got, key, lambda r: r.tokens * r.rate), marginal(got, key, lambda r: r.tokens * r.copies)
+        for v, share in target.items():
+            assert expected[v] == pytest.approx(share, rel=1e-3)
+            assert held[v] == pytest.approx(share, abs=0.02)
+    assert all(r.copies in (int(r.rate), int(r.rate) + 1) and r.selected == (r.copies > 0) for r in got)
+
+
+def test_pipeline_repeats_as_often_as_mixing_says(spark, documents):
+    rng = random.Random(13)
+    docs = documents([(k, prose(rng, 40), "en" if k % 20 else "es") for k in range(400)])
+    copies = {r.doc_id: r.copies for r in mixing.sample(spark, docs).collect() if r.copies}
+    assert max(copies.values()) > 1
+    assert collections.Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, "").collect()) == copies
+
+
 # -- pipeline -----------------------------------------------------------------------------------------
 
 
