@@ -100,10 +100,13 @@ class Index:
         sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
         self.dimension = sizes[0]["d"] if sizes else 0
         self.rows = rows.filter(F.size("vector") == self.dimension)
-        # The k + 1 smallest ids of equal vectors are all that can be among anyone's k nearest.
+        # Of equal vectors, k rows of each of the k + 1 smallest distinct ids are all that can be
+        # among anyone's k nearest, and the first 2k of these rows: k at most are the asker's own.
+        counts = self.rows.groupBy("vector", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
         rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-        few = self.rows.withColumn("rank", rank).filter(F.col("rank") <= k + 1)
-        entries = few.groupBy("vector").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+        few = counts.withColumn("rank", rank).filter(F.col("rank") <= k + 1)
+        repeated = F.flatten(F.collect_list(F.array_repeat("vec_id", F.col("n"))))
+        entries = few.groupBy("vector").agg(F.min("vec_id").alias("entry"), F.slice(F.sort_array(repeated), 1, 2 * k).alias("ids"))
         entries = self.store.put("entries", entries)
         self.count = entries.count()
         if not self.count:
@@ -141,7 +144,7 @@ class Index:
             return self.spark.createDataFrame([], empty)
         wanted = self.rows.join(queries.select(F.col("vec_id").cast("long").alias("wanted")).distinct(), F.col("vec_id") == F.col("wanted"), "left_semi")
         entry = self.entries.select("entry", F.col("vector").alias("own"))
-        asked = self.store.put("asked", wanted.join(entry, F.col("vector") == F.col("own")).select(F.col("vec_id").alias("query_id"), "entry", "vector"))
+        asked = self.store.put("asked", wanted.join(entry, F.col("vector") == F.col("own")).select(F.col("vec_id").alias("query_id"), "entry", "vector").dropDuplicates(["query_id", "entry"]))
         distinct = asked.select("entry", "vector").dropDuplicates(["entry"])
         blocks = max(1, -(-distinct.count() // BLOCK))
         books, sizes, first, parts = self.books, self.cell_sizes, self.first_chunk, self.parts

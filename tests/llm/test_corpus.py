@@ -46,6 +46,17 @@ def test_search_over_all_cells_is_exact(spark, monkeypatch, chunk):
         assert np.allclose([x[2] for x in sorted(got[q])], [x[2] for x in v], rtol=1e-12, atol=0)
 
 
+def test_search_when_a_query_id_is_repeated(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(1, 60)]
+    common = rng.normal(size=8).astype(np.float32).tolist()
+    rows += [(100, common)] * 15 + [(201, common)] * 3 + [(202, common)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [r.vec_id for r in imi.search_table(spark, df, share=1.0).orderBy("rank").collect()]
+    assert got == [j for _, j, _ in brute_search(rows)[100]]
+    assert got[:4] == [201, 201, 201, 202]
+
+
 def test_search_recall(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 8)) * 3
