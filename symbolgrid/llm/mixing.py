@@ -60,6 +60,16 @@ def tempered(cells: DataFrame, key: str, temper: float = TEMPER) -> DataFrame:
     return sums.join(F.broadcast(total)).select(key, (F.col("raised") / F.col("total")).alias("target"))  # one row
 
 
+def completed(cells: DataFrame, key: str, given: DataFrame) -> DataFrame:
+    """(key, target) for every category present: one that ``given`` does not list keeps its present
+    share, those listed divide the rest in proportion to their targets."""
+    sums = cells.groupBy(key).agg(F.sum("tokens").cast("double").alias("tokens")).filter("tokens > 0").join(given, key, "left")
+    whole = sums.agg(F.sum("tokens").alias("all"), F.sum("target").alias("listed"), F.sum(F.when(F.col("target").isNull(), F.col("tokens"))).alias("unlisted"))
+    joined = sums.join(F.broadcast(whole))  # one row
+    rest = 1 - F.coalesce("unlisted", F.lit(0.0)) / F.col("all")
+    return joined.select(key, F.when(F.col("target").isNull(), F.col("tokens") / F.col("all")).otherwise(F.try_divide("target", "listed") * rest).alias("target"))
+
+
 def rake(store: Store, cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells with ``weight``: token shares with the targets as marginals.
 
@@ -102,7 +112,8 @@ def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, fl
 
     ``copies`` is how often the row is in the sample: ``rate`` rounded down or up, ``rate`` in
     expectation. ``selected`` says that it is there at all, which has ``probability``.
-    ``targets`` maps source, lang or topic to target shares; a marginal not given is tempered.
+    ``targets`` maps source, lang or topic to target shares; a marginal not given is tempered,
+    a category not listed keeps its present share.
     Columns used: doc_id, text, lang, source; others are ignored. Null source or lang are a
     category of their own. Documents without words have no tokens to weigh: rate 1.
     Repeated rows are decided alike. An empty table gives no rows.
@@ -112,7 +123,7 @@ def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, fl
     cells = store.put("cells", rows.groupBy(*KEYS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")))
     given = {key: spark.createDataFrame([(k, float(v)) for k, v in shares.items()], f"{key} string, target double") for key, shares in (targets or {}).items()}
     # Targets are written once: a sweep reads them and does not derive them again.
-    target = {key: store.put(f"target-{key}", given[key] if key in given else tempered(cells, key)) for key in KEYS}
+    target = {key: store.put(f"target-{key}", completed(cells, key, given[key]) if key in given else tempered(cells, key)) for key in KEYS}
     raked = rake(store, cells, target)
     weights = store.put("calibrated", calibrate(raked, budget).select(*KEYS, "rate"))
     joined = rows.join(weights, list(KEYS), "left")

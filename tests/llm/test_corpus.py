@@ -156,6 +156,14 @@ def test_sample_holds_the_raked_marginals_at_the_production_budget(spark, docume
     assert all(r.copies in (int(r.rate), int(r.rate) + 1) and r.selected == (r.copies > 0) for r in got)
 
 
+def test_categories_without_a_target_keep_their_share(spark, documents):
+    rng = random.Random(14)
+    rows = [(k, prose(rng, 40), [None, "en", "fr", "de"][k % 4]) for k in range(400)]
+    got = mixing.sample(spark, documents(rows), targets={"lang": {"en": 0.6, "fr": 0.4}}).collect()
+    expected = marginal(got, "lang", lambda r: r.tokens * r.rate)
+    assert expected == pytest.approx({"": 0.25, "de": 0.25, "en": 0.3, "fr": 0.2}, rel=1e-3)
+
+
 def test_pipeline_repeats_as_often_as_mixing_says(spark, documents):
     rng = random.Random(13)
     docs = documents([(k, prose(rng, 40), "en" if k % 20 else "es") for k in range(400)])
