@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests) one of our own."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, one of our own, but only if
+    driver and executors are one process: elsewhere executors could not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="symbolgrid-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -27,11 +31,13 @@ class Store:
 
     def __init__(self, spark: SparkSession, owner: str):
         self.spark = spark
+        self.names: set[str] = set()
         self.root = f"{shared_dir(spark).rstrip('/')}/{owner}-{uuid.uuid4().hex[:12]}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -39,3 +45,8 @@ class Store:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Drop all tables but these, which the result still reads."""
+        self.drop(*(self.names - set(names)))

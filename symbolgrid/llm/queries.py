@@ -96,7 +96,7 @@ def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(spark, table(spark, sf_dir, "documents")).drop("content")
+    return neardup.near_duplicates(spark, table(spark, sf_dir, "documents")).drop("content", "component")
 
 
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def passages(seed):
     return rows + AWKWARD
 
 
-@pytest.mark.parametrize(("crowd", "shard"), [(500, 60_000), (2, 500)])
+@pytest.mark.parametrize(("crowd", "shard"), [(500, 60_000), (2, 500), (1, 60_000)])
 def test_substring_equals_brute_force(spark, documents, monkeypatch, crowd, shard):
     monkeypatch.setattr(substring, "CROWD", crowd)
     monkeypatch.setattr(substring, "SHARD_WORDS", shard)
@@ -48,6 +48,17 @@ def test_substring_equals_brute_force(spark, documents, monkeypatch, crowd, shar
     assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got], key=str) == brute_removed(rows)
 
 
+def test_substring_of_a_very_common_passage(spark, documents, monkeypatch):
+    """One minimizer with very many distinct spans: the borders of a passage that most texts share."""
+    monkeypatch.setattr(substring, "CROWD", 20)
+    rng = random.Random(11)
+    shared = [prose(rng, n, 5000) for n in (36, 44, 70)]
+    rows = [(k, prose(rng, rng.randrange(0, 9), 5000) + " " + shared[k % 3] + " " + prose(rng, rng.randrange(0, 9), 5000)) for k in range(2500)]
+    rows += [(9000, " ".join(shared) + " " + prose(rng, 20_000, 5000))]
+    got = substring.remove_repeats(spark, documents(rows)).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got], key=str) == brute_removed(rows)
+
+
 def test_substring_of_nothing(spark, documents):
     assert substring.remove_repeats(spark, documents([])).collect() == []
 
@@ -78,24 +89,34 @@ def test_word_hashes():
 
 
 def brute_components(rows):
+    """(doc_id, set size, component_id, kept) of every row; texts of one set are one node."""
+
     def shingles(t):
         w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall(t or "")]
         return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
-    rows = [(i, shingles(t)) for i, t in rows if i is not None]
-    root = {i: i for i, _ in rows}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for x, (i, a) in enumerate(rows):
-        for j, b in rows[x + 1 :]:
-            if a and b and 100 * len(a & b) >= 75 * len(a | b):
-                p, q = find(i), find(j)
-                root[max(p, q)] = min(p, q)
-    return sorted((i, len(s), find(i), find(i) == i) for i, s in rows)
+    sets = [shingles(t) for _, t in rows]
+    nodes = sorted({s for s in sets if s}, key=sorted)
+    root = {s: s for s in nodes}
+
+    def find(s):
+        while root[s] != s:
+            s = root[s]
+        return s
+
+    for x, a in enumerate(nodes):
+        for b in nodes[x + 1 :]:
+            if 100 * len(a & b) >= 75 * len(a | b):
+                root[find(b)] = find(a)
+    least = {}
+    for (i, _), s in zip(rows, sets, strict=True):
+        if s and i is not None:
+            least[find(s)] = min(i, least.get(find(s), i))
+    out = []
+    for (i, _), s in zip(rows, sets, strict=True):
+        top = least.get(find(s)) if s else i
+        out.append((i, len(s), top, i == top))
+    return sorted(out, key=str)
 
 
 def near_copies(seed):
@@ -111,16 +132,44 @@ def near_copies(seed):
             rows.append((k, text.upper() if rng.random() < 0.2 else text))
             k += 1
     rows += [(500 + i, "a b c d") for i in range(3)] + [(510, "a b c"), (511, "A  b\nc")]
+    # One id with two texts of its own; a copy without an id; a text of many thousand words.
+    rows += [(520, prose(random.Random(7), 60)), (520, prose(random.Random(8), 60)), (521, prose(random.Random(8), 60)), (None, rows[3][1])]
+    long_ = prose(random.Random(9), 30_000, 5000)
+    rows += [(530, long_), (531, long_ + " end")]
     return rows + AWKWARD
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates_equal_brute_force(spark, documents, monkeypatch, seed):
-    monkeypatch.setattr(neardup, "BLOCK", 7)
+def common_passage(seed):
+    """Texts that share a passage too short to link them, beside near copies of one text."""
+    rng = random.Random(seed)
+    passage, base = prose(rng, 40), prose(rng, 60).split(" ")
+    rows = [(k, passage + " " + prose(rng, rng.randrange(8, 40))) for k in range(150)]
+    for k in range(150, 300):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 3)):
+            copy[rng.randrange(60)] = f"edit{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize(("make", "seed", "block", "weight"), [(near_copies, 1, 7, 600), (near_copies, 2, 512, 1 << 19), (common_passage, 3, 16, 1 << 19), (common_passage, 4, 40, 900)])
+def test_near_duplicates_equal_brute_force(spark, documents, monkeypatch, make, seed, block, weight):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "WEIGHT", weight)
     monkeypatch.setattr(neardup, "PAIRS_PER_TASK", 3)
-    rows = near_copies(seed)
+    monkeypatch.setattr(neardup, "SLICE", 50)
+    rows = make(seed)
+    got = neardup.near_duplicates(spark, documents(rows)).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got], key=str) == brute_components(rows)
+
+
+def test_near_duplicates_without_ids(spark, documents):
+    text = prose(random.Random(3), 30)
+    rows = [(None, text), (None, text), (None, text + " more"), (None, ""), (None, prose(random.Random(4), 30))]
     got = neardup.near_duplicates(spark, documents(rows)).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_components(rows)
+    assert all(r.component_id is None for r in got)
+    assert sorted((r.n_shingles, r.kept) for r in got if r.n_shingles in (0, 27)) in ([(0, True), (27, False)], [(0, True), (27, True)])
+    assert len({r.component for r in got if r.kept and r.n_shingles}) == 2
 
 
 def test_near_duplicates_of_nothing(spark, documents):
@@ -132,10 +181,10 @@ def test_pruning_keeps_what_is_similar():
     assert (np.diff(least) > 0).all()
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**32, (4000, neardup.HASHES), dtype=np.uint32)
-    same = rng.random(a.shape) < 0.75
+    same, row = rng.random(a.shape) < 0.75, np.arange(len(a))
     b = np.where(same, a, a ^ np.uint32(1))
-    assert len(neardup.bayes_survivors(a, b)) == len(a)
-    assert len(neardup.bayes_survivors(a, rng.integers(0, 2**32, a.shape, dtype=np.uint32))) == 0
+    assert len(neardup.bayes_survivors(a, b, row, row)) == len(a)
+    assert len(neardup.bayes_survivors(a, rng.integers(0, 2**32, a.shape, dtype=np.uint32), row, row)) == 0
 
 
 def test_component_of_a_chain(spark):
