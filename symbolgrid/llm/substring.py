@@ -9,10 +9,13 @@ reference is cut into shards that hold all that can match and have a bounded siz
    so each window lies in exactly one span. Only spans whose minimizer occurs twice go on.
 2. Equal spans are counted, not copied. A minimizer with one distinct span is settled by its
    count; a passage in a third of all documents is one row here.
-3. Where one minimizer has very many distinct spans (the borders of a very common passage), each
-   span is first trimmed to the windows whose hash occurs twice, after which they coincide again.
+3. Where one minimizer has very many distinct spans (the borders of a very common passage), its
+   windows get finer owners: the words that all windows of one half of the span share, then of one
+   quarter, and so on. Equal windows have equal owners still, so each lies in one part, and a part
+   whose shared words occur once goes. Halving ends with one window, where equal owners are equal
+   windows, so every owner ends with few distinct parts.
 4. The spans of whole minimizers are gathered to reference shards of at most ``SHARD_WORDS`` words
-   (or one minimizer). A task builds the shard's suffix automaton over the words themselves, with
+   (and one owner of at most ``CROWD`` spans). A task builds the shard's suffix automaton over the words themselves, with
    occurrence counts, and streams its spans for matching statistics: the longest match, ending at
    each word, that occurs at least twice. Matches of ``LENGTH`` words or more are removed.
 """
@@ -20,6 +23,7 @@ reference is cut into shards that hold all that can match and have a bounded siz
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolgrid.llm.durable import Store
-from symbolgrid.llm.words import Words, filled, pieces, range_hash
+from symbolgrid.llm.words import Words, filled, mix, pieces, range_hash
 
 LENGTH, GRAM = 35, 8
 SHARD_WORDS = 60_000
-#: Distinct spans of one minimizer beyond which they are trimmed before they meet.
+#: Distinct spans that one owner may have; beyond it they are divided before they meet.
 CROWD = 500
 
 
@@ -246,17 +250,49 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in pieces(batch, "words"):
-            words = Words(part.column("words"))
-            at, hashes = words.windows(LENGTH)
-            text = words.text[at]
-            pick = pa.array(text)
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c).take(pick) for c in ("minimizer", "span", "n")), pa.array((at - words.first[text]).astype(np.int32)), pa.array(hashes.view(np.int64))],
-                names=["minimizer", "span", "n", "at", "window"],
-            )
+def _divide(width: int):
+    """Parts of spans: the windows whose owner gram stands at the offsets of one multiple of ``width``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "words"):
+                words, rows = Words(part.column("words")), part.num_rows
+                size = words.counts - LENGTH + 1
+                pivot = part.column("pivot").to_numpy().astype(np.int64)
+                if (pivot < 0).any():  # the gram's first place, for spans that were not divided yet
+                    at, grams = words.windows(GRAM)
+                    mine = at[grams.view(np.int64) == part.column("owner").to_numpy()[words.text[at]]]
+                    text, place = np.unique(words.text[mine], return_index=True)
+                    pivot = pivot.copy()
+                    pivot[text] = mine[place] - words.first[text]
+                low, high = (pivot - size + 1) // width, pivot // width
+                row = np.repeat(np.arange(rows), high - low + 1)
+                node = np.arange(len(row)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1) - low, high - low + 1)
+                start = pivot[row] - np.minimum(node * width + width - 1, pivot[row])
+                stop = pivot[row] - np.maximum(node * width, (pivot - size + 1)[row]) + LENGTH
+                # Shared by all windows of the node: between its first and its last offset.
+                core = words.first[row] + pivot[row]
+                shared = range_hash(words.hashes, core - node * width, core - np.minimum(node * width + width - 1, LENGTH - GRAM) + LENGTH, "word")
+                base = words.first[row]
+                whole = range_hash(words.hashes, base + start, base + stop, "word")
+                raw = words.data.tobytes()
+                cut = [raw[x:y] for x, y in zip(words.starts[base + start].tolist(), words.stops[base + stop - 1].tolist(), strict=True)]
+                pick = pa.array(row)
+                owner = mix(shared ^ mix((node * 64 + width).astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(part.column(c).take(pick) for c in ("minimizer", "span", "n")),
+                        pa.array(owner.view(np.int64)),
+                        pa.array(whole.view(np.int64)),
+                        pa.array((part.column("at").to_numpy()[row] + start).astype(np.int32)),
+                        pa.array((pivot[row] - start).astype(np.int32)),
+                        pa.array((stop - start).astype(np.int32)),
+                        pa.array(cut, pa.binary()).cast(pa.string()),
+                    ],
+                    names=["minimizer", "span", "n", "owner", "piece", "at", "pivot", "size", "words"],
+                )
+
+    return run
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,32 +351,38 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     wanted = place.groupBy(F.col("doc_id").alias("at_doc"), F.col("content").alias("at_content"))
     wanted = wanted.agg(F.collect_list(F.struct("minimizer", "span", "start", "size")).alias("wanted"))
     here = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("content") == F.col("at_content"))
-    cut = docs.join(wanted.hint("shuffle_hash"), here).select("text", "wanted").mapInArrow(_cut, "minimizer long, span long, words string")
+    cut = docs.join(wanted, here).select("text", "wanted").mapInArrow(_cut, "minimizer long, span long, words string")
     weights = place.select("minimizer", "span", "n")
     texts = store.put("texts", cut.dropDuplicates(["minimizer", "span"]).join(weights, ["minimizer", "span"]))
 
-    crowd = texts.groupBy("minimizer").agg(F.count(F.lit(1)).alias("spans")).filter(F.col("spans") > CROWD).select("minimizer")
     found = "minimizer long, span long, ranges array<struct<start:int,stop:int>>"
 
     def match(rows: DataFrame) -> DataFrame:
         dealt = rows.select("minimizer", "span", "n", "words").repartition("minimizer").sortWithinPartitions("minimizer")
         return dealt.mapInArrow(_match, found)
 
-    calm = match(texts.join(crowd, "minimizer", "left_anti"))
-    crowded = texts.join(crowd, "minimizer", "left_semi")
-    windows = store.put("windows", crowded.mapInArrow(_windows, "minimizer long, span long, n long, at int, window long"))
-    again = windows.groupBy("window").agg(F.sum("n").alias("total")).filter("total > 1").select("window")
-    # Runs of repeated windows: the position less its rank is constant along a run.
-    hits = windows.join(again, "window").groupBy("minimizer", "span").agg(F.sort_array(F.collect_list("at")).alias("hits"), F.first("n").alias("n"))
-    runs = hits.select("minimizer", "span", "n", F.posexplode("hits")).groupBy("minimizer", "span", "n", (F.col("col") - F.col("pos")).alias("run"))
-    runs = runs.agg(F.min("col").alias("from"), F.max("col").alias("to"))
-    trimmed = runs.join(crowded.select("minimizer", "span", "words"), ["minimizer", "span"])
-    part = F.array_join(F.slice(F.split("words", " "), F.col("from") + 1, F.col("to") - F.col("from") + LENGTH), " ")
-    trimmed = store.put("trimmed", trimmed.select("minimizer", "span", "n", "from", part.alias("words")).withColumn("run", F.xxhash64("words")))
-    merged = trimmed.groupBy("minimizer", F.col("run").alias("span")).agg(F.sum("n").alias("n"), F.min("words").alias("words"))
-    back = match(merged).withColumnRenamed("span", "run").join(trimmed.select("minimizer", "span", "run", "from"), ["minimizer", "run"])
-    shifted = back.select("minimizer", "span", F.expr("transform(ranges, r -> struct(r.start + `from` as start, r.stop + `from` as stop))").alias("ranges"))
-    covered = store.put("covered", calm.unionByName(shifted))
+    crowd = texts.groupBy("minimizer").agg(F.count(F.lit(1)).alias("spans")).filter(F.col("spans") > CROWD).select("minimizer")
+    crowd = store.put("crowd", crowd)
+    covered = [store.put("covered", match(texts.join(crowd, "minimizer", "left_anti")))]
+    rest, width = crowd, 1 << (LENGTH - GRAM).bit_length()
+    parts = texts.join(crowd, "minimizer", "left_semi").select("minimizer", "span", "n", F.col("minimizer").alias("owner"), F.lit(0).alias("at"), F.lit(-1).alias("pivot"), "words")
+    schema = "minimizer long, span long, n long, owner long, piece long, at int, pivot int, size int, words string"
+    while width > 1 and not rest.isEmpty():
+        width //= 2
+        parts = store.put(f"parts{width}", parts.select("minimizer", "span", "n", "owner", "at", "pivot", "words").mapInArrow(_divide(width), schema))
+        merged = parts.groupBy("owner", "piece").agg(F.sum("n").alias("n"), F.any_value("words").alias("words"))
+        merged = store.put(f"merged{width}", merged)
+        owners = merged.groupBy("owner").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("pieces")).filter("total > 1")
+        owners = store.put(f"owners{width}", owners.select("owner", "pieces"))
+        even = parts.join(owners.filter("pieces = 1"), "owner", "left_semi")
+        even = even.select("minimizer", "span", F.array(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"))).alias("ranges"))
+        few = merged.join(owners.filter(F.col("pieces").between(2, CROWD)), "owner", "left_semi")
+        few = match(few.withColumnsRenamed({"owner": "minimizer", "piece": "span"})).withColumnsRenamed({"minimizer": "owner", "span": "piece"})
+        few = parts.join(few, ["owner", "piece"]).select("minimizer", "span", F.expr("transform(ranges, r -> struct(r.start + at as start, r.stop + at as stop))").alias("ranges"))
+        covered.append(store.put(f"covered{width}", even.unionByName(few)))
+        rest = owners.filter(F.col("pieces") > CROWD)
+        parts = parts.join(rest, "owner", "left_semi")
+    covered = reduce(DataFrame.unionByName, covered)
 
     whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("size") + LENGTH - 1).alias("stop")))
     here = spans.filter("uniform").select("doc_id", "content", "start", whole.alias("ranges"))
@@ -349,7 +391,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     flat = flat.select("doc_id", "content", F.struct((F.col("start") + F.col("r.start")).alias("start"), (F.col("start") + F.col("r.stop")).alias("stop")).alias("r"))
     lists = flat.groupBy(F.col("doc_id").alias("at_doc"), F.col("content").alias("at_content")).agg(F.sort_array(F.collect_set("r")).alias("ranges"))
     lists = store.put("lists", lists)
+    store.keep("lists")
     same = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("content") == F.col("at_content"))
     none = F.expr("cast(array() as array<struct<start:int,stop:int>>)")
-    ready = docs.join(lists.hint("shuffle_hash"), same, "left").select("doc_id", "text", F.coalesce("ranges", none).alias("ranges"))
+    ready = docs.join(lists, same, "left").select("doc_id", "text", F.coalesce("ranges", none).alias("ranges"))
     return ready.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string, ranges array<struct<start:int,stop:int>>")
