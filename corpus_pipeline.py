@@ -28,16 +28,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component (8) stays, that of the smallest doc_id.
-    Repeated rows of it become one; rows without a doc_id cannot be told apart and stay."""
+    """One document of each near-duplicate component (8) stays: of the smallest doc_id, and if that
+    id has several texts in the component, the one of smallest hash. Texts without words all stay.
+    Repeated rows of what stays become one."""
     found = neardup.near_duplicates(spark, docs).filter("kept")
-    found = found.groupBy(F.col("doc_id").alias("wanted_id")).agg(F.min("content").alias("wanted_content"), F.count(F.lit(1)).alias("wanted_rows"))
-    content = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    same = (docs["doc_id"] == F.col("wanted_id")) & (content == F.col("wanted_content"))
-    rows = docs.join(found.hint("shuffle_hash"), same)
-    single = rows.filter("wanted_rows = 1").select(*[docs[c] for c in docs.columns])
-    repeated = rows.filter("wanted_rows > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.filter("doc_id is null"))
+    wordless = found.filter("component is null").select("doc_id", "content")
+    one = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "content")).alias("one"))
+    rows = _only(docs, wordless.unionByName(one.select("one.*")).distinct())
+    return rows.dropDuplicates(["doc_id", "text"])
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
