@@ -22,10 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symbolgrid.llm.words import filled, pieces
+from symbolgrid.llm.words import filled, pieces, tidy
 
-#: Pieces whose ids a worker remembers; beyond it the memory starts anew (results do not depend on it).
-REMEMBERED = 400_000
+#: Pieces whose ids a worker remembers, about 250 bytes each; beyond it only those of the
+#: present batch stay (results do not depend on it).
+REMEMBERED = 150_000
 #: Pieces of at most so many bytes are merged in rows of an array; longer ones one by one.
 SHORT = 64
 _NONE = 1 << 62
@@ -181,8 +182,7 @@ class Codec:
     def _learn(self, found: set[str]) -> None:
         unseen = found - self.memory.keys()
         if len(self.memory) + len(unseen) > REMEMBERED:
-            self.memory.clear()
-            unseen = found
+            self.memory = {piece: self.memory[piece] for piece in found - unseen}
         rows: list[tuple[str, bytes]] = []
         for piece in unseen:
             raw = piece.encode()
@@ -225,10 +225,11 @@ def encode_column(docs: DataFrame, codec, ids: bool = True) -> DataFrame:
     doc_id stays null. The decoded bytes are those of the text (null: none).
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _codec(*codec.value)
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 20):
+            for part in pieces(batch, "text"):
                 codes = c.encode(filled(part.column("text")).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [

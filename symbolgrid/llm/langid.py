@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symbolgrid.llm.words import filled, pieces
+from symbolgrid.llm.words import filled, pieces, tidy
 
 #: First and last code point of ranges, and the script they belong to.
 SCRIPTS = [
@@ -163,6 +163,7 @@ def label_texts(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, p
     return langs, score, pa.ListArray.from_arrays(pa.array(offsets), flat)
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, slot, n): n-gram slots as 0 .. 2 * SLOTS, scripts behind them."""
     total: dict[str, np.ndarray] = {}
@@ -204,9 +205,10 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = spark.sparkContext.broadcast(model)  # two tables of SLOTS rows for each language
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 20):
+            for part in pieces(batch, "text"):
                 langs, score, spans = label_texts(shared.value, filled(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs), pa.array(score), spans.cast(_SPAN)], names=["doc_id", "lang_pred", "score", "spans"])
 

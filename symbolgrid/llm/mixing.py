@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolgrid.llm.durable import Store
-from symbolgrid.llm.words import Words, filled, pieces
+from symbolgrid.llm.words import Words, filled, pieces, tidy
 
 KEYS = ("source", "lang", "topic")
 TOPICS = 8
@@ -31,6 +31,7 @@ SWEEPS, TOLERANCE = 20, 1e-4
 BUDGET = 0.9
 
 
+@tidy
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text"):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolgrid.llm.durable import Store
-from symbolgrid.llm.words import Words, filled, mix, pieces
+from symbolgrid.llm.words import Words, filled, mix, pieces, tidy
 
 WIDTH, THRESHOLD = 5, (75, 100)
 ROWS, BANDS, BATCH, MISS = 4, 32, 32, 1e-7
@@ -90,9 +90,10 @@ def _sets_binary(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
     ).cast(pa.binary())
 
 
+@tidy
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "text", 1 << 20):
+        for part in pieces(batch, "text"):
             hashes, offsets = shingle_sets(filled(part.column("text")))
             size = np.diff(offsets)
             sums = []
@@ -106,6 +107,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text"):
@@ -140,6 +142,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
 
 
+@tidy
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 2048):
@@ -157,6 +160,7 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return THRESHOLD[1] * common >= THRESHOLD[0] * (len(x) + len(y) - common)
 
 
+@tidy
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (centre, salt, other), the centre's own set first with other null."""
     centre, held = None, np.zeros(0, np.uint64)
@@ -210,6 +214,7 @@ def _packed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int,
             yield pair, band, Packed(a), None if b is None else Packed(b)
 
 
+@tidy
 def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members (id, label) of either side of a pair of packed rows that have any pair to verify."""
     kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int64())]))
@@ -223,6 +228,7 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([pair], pa.int64()), pa.array([some[0]], kind), pa.array([some[1] if b is not None else None], kind)], names=["pair", "flagged_a", "flagged_b"])
 
 
+@tidy
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a pair of packed rows that join components which its earlier links have not joined."""
     for _, band, a, b in _packed_pairs(batches):

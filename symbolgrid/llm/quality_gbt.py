@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolgrid.llm.words import Words, filled, mix, pieces
+from symbolgrid.llm.words import Words, filled, mix, pieces, tidy
 
 #: Labelled documents that the trees are fitted on: those of smallest hash of doc_id.
 SAMPLE = 20_000
@@ -154,9 +154,10 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
     return Trees(np.array(statistic), np.array(threshold), np.array(value), start)
 
 
+@tidy
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "text", 1 << 20):
+        for part in pieces(batch, "text"):
             x = statistics_of(filled(part.column("text")))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), lists], names=["doc_id", "label", "x"])
@@ -181,9 +182,10 @@ def score(spark: SparkSession, docs: DataFrame, trees: Trees) -> DataFrame:
     is scored as such; a null doc_id stays null."""
     shared = spark.sparkContext.broadcast(trees)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 20):
+            for part in pieces(batch, "text"):
                 x = statistics_of(filled(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.scores(x))], names=["doc_id", "score"])
 

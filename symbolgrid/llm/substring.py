@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolgrid.llm.durable import Store
-from symbolgrid.llm.words import Words, filled, mix, pieces, range_hash
+from symbolgrid.llm.words import Words, filled, mix, pieces, range_hash, tidy
 
 LENGTH, GRAM = 35, 8
 SHARD_WORDS = 60_000
@@ -169,6 +169,7 @@ def owned_spans(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return start, size, grams[owner[begin]], range_hash(words.hashes, start, start + size + LENGTH - 1, "word")
 
 
+@tidy
 def _anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text"):
@@ -188,6 +189,7 @@ def _anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the wanted spans: each span once a piece, its words joined by one space."""
     for batch in batches:
@@ -230,6 +232,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[tuple[int,
         yield [*shard, group]
 
 
+@tidy
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for shard in _shards(batches):
         automaton, ids, rows = SuffixAutomaton(), {}, []
@@ -253,6 +256,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _divide(width: int):
     """Parts of spans: the windows whose owner gram stands at the offsets of one multiple of ``width``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "words"):
@@ -295,6 +299,7 @@ def _divide(width: int):
     return run
 
 
+@tidy
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text"):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ def _powers(kind: str, sign: int, n: int) -> np.ndarray:
         base = np.full(size, (_BASES if sign > 0 else _INVERSE)[kind], dtype=np.uint64)
         base[0] = 1
         have = np.multiply.accumulate(base)
-        if size <= 1 << 23:  # keep tables for usual batches only
+        if size <= 1 << 17:  # a worker keeps short tables only; longer ones take milliseconds
             _POWERS[kind, sign] = have
     return have[:n]
 
@@ -85,7 +88,25 @@ class Words:
         return range_hash(self.hashes, self.first[:-1], self.first[1:], "word")
 
 
-def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a partition, after which the worker hands what it freed back to the system: Spark
+    keeps workers for later stages, and they stand beside the executor's own heap."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:  # glibc only
+                trim(0)
+
+    return whole
+
+
+def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most_bytes`` of text each (a longer text is a slice alone)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total, start = np.cumsum(sizes), 0
