@@ -222,7 +222,8 @@ def encode_column(docs: DataFrame, codec, ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian uint32; only if asked for), ids_sha256, decoded_sha256.
 
     One row per input row, other columns ignored. Null and empty texts have no tokens; a null
-    doc_id stays null. The decoded bytes are those of the text (null: none).
+    doc_id stays null. The decoded bytes are those of the text (null: none). Repeated rows are
+    encoded alike, texts of any length whole; an empty table gives no rows.
     """
 
     @tidy

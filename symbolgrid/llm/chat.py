@@ -10,8 +10,9 @@ The parser needs no lookahead: cut at every OPEN, end the header at the first NE
 body at the first CLOSE. A text that the parser would read back differently is escaped: ``<``, any number of backslashes, ``|`` gains one backslash, and the parser takes one
 away. Headers are role names whose backslashes and newlines are spelled ``\\s`` and ``\\n``.
 
-The renderer starts from the plain texts, parses its own output, and escapes only the turns
-that did not come back, repeating until the recovered turns equal the source.
+The renderer starts from the plain texts, parses every turn it rendered, and escapes those that did
+not come back. Then the whole output is parsed; a conversation that does not equal its source has
+all its turns escaped, and if it still differed, the job would fail rather than return it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symbolgrid.llm.native import let, running_sum
+
 OPEN, CLOSE, NEWLINE = "<|im_start|>", "<|im_end|>", "\n"
 LEARNED_ROLE = "assistant"
 
@@ -66,20 +69,14 @@ def parse(formatted: Column) -> Column:
 def loss_spans(turns: Column, learned_role: str = LEARNED_ROLE) -> Column:
     """array of struct(start, length): code points of the output that the loss covers, in order."""
 
-    def step(acc: Column, t: Column) -> Column:
-        head = F.length(_turn(t["role"], F.lit(""))) - len(CLOSE + NEWLINE)
-        size = F.length(t["body"])
-        span = F.array(F.struct((acc["at"] + head).alias("start"), size.alias("length")))
-        return F.struct(
-            (acc["at"] + head + size + len(CLOSE + NEWLINE)).cast("int").alias("at"),
-            F.when(t["role"] == learned_role, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        )
+    def spans(all_: Column) -> Column:
+        ends = running_sum(F.transform(all_, lambda t: F.length(_turn(t["role"], t["body"]))))
+        tail = len(CLOSE + NEWLINE)
+        each = F.zip_with(all_, ends, lambda t, end: F.struct((end - tail - F.length(t["body"])).alias("start"), F.length(t["body"]).alias("length"), t["role"].alias("role")))
+        learned = F.filter(each, lambda s: s["role"] == learned_role)
+        return F.transform(learned, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
 
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans"),
-    )
-    return F.aggregate(turns, start, step, lambda acc: acc["spans"])
+    return let(turns, spans)
 
 
 def format_chats(turns: DataFrame, learned_role: str = LEARNED_ROLE) -> DataFrame:
@@ -89,8 +86,8 @@ def format_chats(turns: DataFrame, learned_role: str = LEARNED_ROLE) -> DataFram
     Null role or text counts as empty; null turns come first; rows with the same turn are all
     kept, ordered by role, then text; null conv_id is a conversation of its own. No rows give no
     rows. One conversation becomes one string, so it must fit one row of a task.
-    ``escaped`` counts the turns that needed escaping, ``identical`` says that the final parse
-    equals the source.
+    Texts of any length are taken whole. ``escaped`` counts the turns that were escaped;
+    ``recovered``, parsed back from ``formatted``, equals the source.
     """
     rows = turns.select(
         F.col("conv_id"),
@@ -101,7 +98,6 @@ def format_chats(turns: DataFrame, learned_role: str = LEARNED_ROLE) -> DataFram
         ).alias("entry"),
     )
     convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("entry")).alias("source"))
-    plain = convs.withColumn("turns", F.expr("transform(source, t -> struct(t.role as role, t.text as body))"))
 
     # Round 0 renders one turn at a time, so that a conflict stays within its own turn.
     def settle(t: Column) -> Column:
@@ -111,17 +107,26 @@ def format_chats(turns: DataFrame, learned_role: str = LEARNED_ROLE) -> DataFram
             t["role"].alias("role"), F.when(same, t["text"]).otherwise(escape(t["text"])).alias("body"), (~same).alias("escaped")
         )
 
-    settled = plain.withColumn("turns", F.transform("source", settle))
-    out = settled.select(
+    def rendered(turns: Column) -> Column:
+        return let(render(turns), lambda x: F.struct(turns.alias("turns"), x.alias("formatted"), parse(x).alias("recovered")))
+
+    def checked(done: Column, otherwise: Column) -> Column:
+        return F.when(done["recovered"] == F.col("wanted"), done).otherwise(otherwise)
+
+    wanted = F.expr("transform(source, t -> struct(t.role as role, t.text as text))")
+    everything = F.transform("source", lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("body"), F.lit(True).alias("escaped")))
+    settled = convs.withColumns({"turns": F.transform("source", settle), "wanted": wanted})
+    failed = F.raise_error(F.lit("a conversation does not come back from its formatted text"))
+    done = let(rendered(F.col("turns")), lambda first: checked(first, let(rendered(everything), lambda again: checked(again, failed))))
+    out = settled.select("conv_id", "source", done.alias("done"))
+    return out.select(
         "conv_id",
         "source",
-        F.size(F.filter("turns", lambda t: t["escaped"])).alias("escaped"),
-        render(F.col("turns")).alias("formatted"),
-        loss_spans(F.col("turns"), learned_role).alias("loss_spans"),
+        F.size(F.filter("done.turns", lambda t: t["escaped"])).alias("escaped"),
+        "done.formatted",
+        loss_spans(F.col("done.turns"), learned_role).alias("loss_spans"),
+        "done.recovered",
     )
-    back = out.withColumn("recovered", parse(F.col("formatted")))
-    same = F.col("recovered") == F.expr("transform(source, t -> struct(t.role as role, t.text as text))")
-    return back.withColumn("identical", same)
 
 
 def under_loss(formatted: Column, spans: Column) -> Column:

@@ -183,12 +183,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model:
     """From docs(doc_id, text, lang): rows with a null lang or text teach nothing. At most
-    ``sample`` documents a language; what reaches the driver is bounded by the slots."""
-    rows = docs.select(F.col("doc_id").alias("taught"), F.col("lang").alias("taught_lang")).filter("lang is not null and text is not null")
-    order = Window.partitionBy("taught_lang").orderBy(F.xxhash64("taught"), "taught")
-    chosen = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample).select("taught", "taught_lang").distinct()
+    ``sample`` ids a language, those of smallest hash; what reaches the driver is bounded by the
+    slots. No rows give a model of no languages."""
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    rows = docs.select(F.col("doc_id").alias("taught"), F.col("lang").alias("taught_lang"), place.alias("place")).filter("lang is not null and text is not null")
+    # Twice the share that would do, so that no task orders the documents of a common language.
+    share = rows.groupBy(F.col("taught_lang").alias("some_lang")).agg((2.0 * sample / F.count(F.lit(1))).alias("share"))
+    near = rows.join(share, (F.col("taught_lang") == F.col("some_lang")) & (F.col("place") <= F.col("share"))).select("taught", "taught_lang", "place").distinct()
+    order = Window.partitionBy("taught_lang").orderBy("place", "taught")
+    chosen = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample).select("taught", "taught_lang")
     same = docs["doc_id"].eqNullSafe(F.col("taught")) & (docs["lang"] == F.col("taught_lang"))
-    picked = docs.join(chosen, same, "left_semi").select("lang", "text")
+    picked = docs.join(F.broadcast(chosen), same, "left_semi").select("lang", "text")  # at most ``sample`` rows a language
     table = picked.mapInArrow(_count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(table["lang"].unique().tolist())
     counts = np.zeros((len(languages), 2 * SLOTS + len(NAMES)))
@@ -199,7 +204,8 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model:
 def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """One row per input row: doc_id, lang_pred, score, spans.
 
-    Columns used: doc_id, text; others are ignored. ``lang_pred`` has the most letters of the
+    Columns used: doc_id, text; others are ignored. Repeated rows are labelled alike, each on its
+    own; texts of any length are taken whole; an empty table gives no rows. ``lang_pred`` has the most letters of the
     text (ties: the language first in order) and ``score`` is their share. Null texts and texts
     without a letter are ``und`` with score 0, as is everything under a model of no languages.
     """

@@ -412,6 +412,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     classes = classes.join(outer, "inner", "left").withColumn("component", F.coalesce("outer", "inner"))
     classes = run.store.put("labelled", classes.select(*PRINTS, "component", "least_doc", F.col("place.content").alias("least_content")))
     least = classes.groupBy("component").agg(F.min("least_doc").alias("component_id"), F.min("least_content").alias("least_content"))
+    least = run.store.put("least", least)  # so that a component with very many classes can be split in the join
     nodes = run.store.put("nodes", classes.select(*PRINTS, "component").join(least, "component"))
     run.store.keep("signed", "nodes")
     out = run.signed.select("doc_id", "content", *PRINTS).join(nodes, PRINTS, "left")

@@ -1,14 +1,16 @@
 r"""Quality rules by robust multivariate outliers, in DataFrame functions only.
 
 Every document gets a vector of transformed statistics. For each language and source the minimum
-covariance determinant (MCD) estimate is found by concentration steps: from a robust start
-(medians and quartile ranges), keep the ``SUPPORT`` share of documents nearest in Mahalanobis
-distance, re-estimate mean and covariance from them, repeat. Documents whose distance from the
-final estimate exceeds the cutoff are rejected.
-
-Distances are binned on a fine logarithmic grid, and counts and moments are kept per (group, bin).
-One concentration step is therefore one map-side-combined aggregation whose result has at most
-``BINS`` rows a group; no group is ever gathered, however many documents it holds.
+covariance determinant (MCD) estimate is searched from two starts, medians with quartile ranges
+and the plain mean and covariance. A concentration step takes the ``SUPPORT`` share of documents
+nearest in Mahalanobis distance and re-estimates mean and covariance from them; steps go on until
+no determinant falls any more, and each group takes the start that ended with the smaller one.
+Documents whose distance from it exceeds the cutoff are rejected.
+
+Distances are binned on a fine logarithmic grid, and counts and moments are kept per (group, bin);
+of the bin in which the share ends, the fitting fraction counts. One concentration step is
+therefore one map-side-combined aggregation whose result has at most ``BINS`` rows a group and
+start; no group is ever gathered, however many documents it holds.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symbolgrid.llm.durable import Store
+from symbolgrid.llm.native import let
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 SUPPORT = 0.7
-STEPS = 3
+#: Concentration steps at most, and the fall of a log determinant below which they end.
+STEPS, FALL = 8, 0.01
 #: Bins per doubling of the squared distance, and the range of the grid (2**-10 to 2**30).
 BINS_PER_DOUBLING, LOWEST, HIGHEST = 8, -10, 30
 #: Smallest standard deviation of each transformed statistic: differences below it mean nothing.
@@ -38,11 +42,6 @@ FEATURES = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, also where body uses it inside a lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
 
@@ -134,12 +133,15 @@ def cholesky(frame: DataFrame) -> DataFrame:
             inner = reduce(lambda a, b: a - b, [F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)], F.col(f"c_{i}_{j}"))
             below[f"l_{i}_{j}"] = inner / F.col(f"l_{j}_{j}")
         frame = frame.withColumns(below) if below else frame
-    return frame
+    return frame.withColumn("log_det", reduce(lambda a, b: a + b, [2 * F.log(f"l_{j}_{j}") for j in range(P)]))
+
+
+GROUP = ["lang", "source"]
 
 
 def with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance from the estimate of the row's group."""
-    joined = rows.join(estimate, ["lang", "source"])
+    joined = rows.join(estimate, GROUP)
     for i in range(P):
         inner = reduce(lambda a, b: a - b, [F.col(f"l_{i}_{k}") * F.col(f"y_{k}") for k in range(i)], F.col(f"x{i}") - F.col(f"m_{i}"))
         joined = joined.withColumn(f"y_{i}", inner / F.col(f"l_{i}_{i}"))
@@ -148,54 +150,78 @@ def with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return joined.select(*keep, d2.alias("d2"))
 
 
-def robust_start(rows: DataFrame) -> DataFrame:
+def moments(rows: DataFrame, *keys: str) -> DataFrame:
+    """Count, sums and sums of products of the vector for each value of the keys."""
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(f"x{i}").alias(f"s_{i}") for i in range(P)],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s_{i}_{j}") for i, j in PAIRS],
+    )
+
+
+def from_moments(sums: DataFrame, *keep: str) -> DataFrame:
+    """Means and factored covariances of summed moments.
+
+    The floors are in the covariance once as what clean text may differ by, and again, with weight
+    PRIOR / (n + PRIOR), as its prior.
+    """
+    out = sums.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in range(P)})
+    spread = {}
+    for i, j in PAIRS:
+        cov = F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")
+        floor = FLOORS[i] ** 2 if i == j else 0.0
+        spread[f"c_{i}_{j}"] = (cov * F.col("n") + PRIOR * floor) / (F.col("n") + PRIOR) + floor
+    names = [f"m_{i}" for i in range(P)] + [f"c_{i}_{j}" for i, j in PAIRS]
+    return cholesky(out.withColumns(spread).select(*GROUP, *keep, *names))
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Estimates to begin with: start 0 of medians and quartile ranges, start 1 of plain moments."""
     quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = rows.groupBy("lang", "source").agg(*[F.percentile_approx(f"x{i}", quartiles, 2000).alias(f"q{i}") for i in range(P)])
+    q = rows.groupBy(*GROUP).agg(*[F.percentile_approx(f"x{i}", quartiles, 2000).alias(f"q{i}") for i in range(P)])
     spread = {f"c_{i}_{j}": F.lit(0.0) for i, j in PAIRS}
     for i in range(P):
         scale = F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i]))
         spread[f"c_{i}_{i}"] = scale * scale
-    out = q.select("lang", "source", *[F.col(f"q{i}")[1].alias(f"m_{i}") for i in range(P)], *[c.alias(n) for n, c in spread.items()])
-    return cholesky(out.withColumn("scale", F.lit(1.0)))
+    robust = q.select(*GROUP, F.lit(0).alias("start"), F.lit(1.0).alias("scale"), *[F.col(f"q{i}")[1].alias(f"m_{i}") for i in range(P)], *[c.alias(n) for n, c in spread.items()])
+    plain = moments(rows, *GROUP).withColumns({"start": F.lit(1), "scale": F.lit(1.0)})
+    return cholesky(robust).unionByName(from_moments(plain, "start", "scale"))
 
 
-def concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+def concentrate(store: Store, rows: DataFrame, estimate: DataFrame, name: str) -> DataFrame:
     """One concentration step; ``scale`` makes the median squared distance that of chi-square.
 
-    The floors are in the covariance once as what clean text may differ by, and again, with weight
-    PRIOR / (n + PRIOR), as its prior. This is at most 1 + PRIOR / (n + PRIOR) times the covariance
-    with floors counted once, so distances come out too small by that at most. It is the least
-    that ``scale`` takes back.
+    Counting the floors twice (see from_moments) makes distances too small by 1 + PRIOR / (n +
+    PRIOR) at most. It is the least that ``scale`` takes back.
     """
     grid = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(2.0**LOWEST))) * BINS_PER_DOUBLING)
-    binned = with_distance(rows, estimate.drop("scale")).withColumn("bin", F.least(grid, F.lit(HIGHEST * BINS_PER_DOUBLING)))
-    moments = binned.groupBy("lang", "source", "bin").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(f"x{i}").alias(f"s_{i}") for i in range(P)],
-        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s_{i}_{j}") for i, j in PAIRS],
-    )
-    group = Window.partitionBy("lang", "source")
+    binned = with_distance(rows, estimate.drop("scale", "log_det")).withColumn("bin", F.least(grid, F.lit(HIGHEST * BINS_PER_DOUBLING)))
+    # As a table it has a row a bin; without, a window's task would get one of each map task.
+    found = store.put(f"moments{name}", moments(binned, *GROUP, "start", "bin"))
+    group = Window.partitionBy(*GROUP, "start")
     before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = moments.withColumns({"before": before, "all": F.sum("n").over(group)})
+    ranked = found.withColumns({"before": before, "all": F.sum("n").over(group)})
     middle = F.when(F.col("before") + F.col("n") >= 0.5 * F.col("all"), F.pow(F.lit(2.0), (F.col("bin") + 0.5) / BINS_PER_DOUBLING))
-    inside = F.col("before") < F.ceil(SUPPORT * F.col("all"))
-    sums = ranked.groupBy("lang", "source").agg(
-        F.min(middle).alias("median"),
-        F.sum(F.when(inside, F.col("n"))).alias("n"),
-        *[F.sum(F.when(inside, F.col(f"s_{i}"))).alias(f"s_{i}") for i in range(P)],
-        *[F.sum(F.when(inside, F.col(f"s_{i}_{j}"))).alias(f"s_{i}_{j}") for i, j in PAIRS],
-    )
-    mean = {f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in range(P)}
-    out = sums.withColumns(mean)
-    spread = {}
-    for i, j in PAIRS:
-        cov = F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")
-        floor = FLOORS[i] ** 2 if i == j else 0.0
-        spread[f"c_{i}_{j}"] = (cov * F.col("n") + PRIOR * floor) / (F.col("n") + PRIOR) + floor
+    part = F.least(F.greatest((F.ceil(SUPPORT * F.col("all")) - F.col("before")) / F.col("n"), F.lit(0.0)), F.lit(1.0))
+    names = ["n", *[f"s_{i}" for i in range(P)], *[f"s_{i}_{j}" for i, j in PAIRS]]
+    sums = ranked.groupBy(*GROUP, "start").agg(F.min(middle).alias("median"), *[F.sum(part * F.col(c)).alias(c) for c in names])
     scale = F.greatest(F.col("median") / CHI2_MEDIAN, 1 / (1 + PRIOR / (F.col("n") + PRIOR)))
-    out = out.withColumns(spread).withColumn("scale", scale)
-    names = [f"m_{i}" for i in range(P)] + [f"c_{i}_{j}" for i, j in PAIRS]
-    return cholesky(out.select("lang", "source", "scale", *names))
+    return store.put(f"estimate{name}", from_moments(sums.withColumn("scale", scale), "start", "scale"))
+
+
+def estimates(store: Store, rows: DataFrame) -> DataFrame:
+    """Per group the estimate of the smaller determinant, from rows(lang, source, x0..x4)."""
+    estimate = store.put("estimate", starts(rows))
+    for step in range(STEPS):
+        after = concentrate(store, rows, estimate, str(step))
+        both = after.join(estimate.select(*GROUP, "start", F.col("log_det").alias("last")), [*GROUP, "start"])
+        fall = both.agg(F.max(F.abs(F.col("last") - F.col("log_det"))).alias("fall")).first()["fall"]
+        estimate = after
+        if fall is None or fall < FALL:
+            break
+    columns = [c for c in estimate.columns if c not in (*GROUP, "start")]
+    best = estimate.groupBy(*GROUP).agg(F.min(F.struct("log_det", "start", *[c for c in columns if c != "log_det"])).alias("best"))
+    return store.put("best", best.select(*GROUP, *[F.col(f"best.{c}").alias(c) for c in columns]))
 
 
 def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -203,16 +229,15 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Columns used: doc_id, text, lang, source; others are ignored. Null text is empty, null lang or
     source are a group of their own. An empty table gives no rows; a group of one document keeps
-    it unless the base rules fail it. Repeated rows are judged alike, each on its own.
+    it unless the base rules fail it. Repeated rows are judged alike, each on its own. Texts of any
+    length are taken whole; one text's words are arrays of one row.
     """
     store = Store(spark, "outliers")
     rows = store.put("statistics", statistics(docs))
     # What the base rules reject is no evidence of how clean text looks.
-    sound = rows.filter(~F.col("base_failed")).select("lang", "source", *FEATURES)
-    estimate = store.put("estimate0", robust_start(sound))
-    for step in range(STEPS):
-        estimate = store.put(f"estimate{step + 1}", concentrate(sound, estimate))
-    near = with_distance(rows.filter(~F.col("base_failed")), estimate)
+    sound = rows.filter(~F.col("base_failed")).select(*GROUP, *FEATURES)
+    near = with_distance(rows.filter(~F.col("base_failed")), estimates(store, sound).drop("log_det"))
+    store.keep("statistics", "best")
     distance = F.sqrt(F.col("d2") / F.col("scale"))
     out = ["doc_id", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     judged = near.select(*out, distance.alias("distance"), (F.col("d2") <= CUTOFF * F.col("scale")).alias("kept"))

@@ -172,14 +172,17 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     known = labels.filter("label is not null and doc_id is not null").groupBy(F.col("doc_id").alias("known")).agg(F.min("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("known"), "known").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("known")).select(F.col("doc_id").cast("long"), F.col("label").cast("int").alias("label"), "text")
-    table = rows.mapInArrow(_measure, "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    # However often a labelled id is repeated, one row of it reaches the driver: that of smallest statistics.
+    measured = rows.mapInArrow(_measure, "doc_id long, label int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("least"))
+    table = measured.select("doc_id", "least.*").toPandas().sort_values("doc_id", kind="stable")
     x = np.stack(table["x"].to_list()) if len(table) else np.zeros((0, len(STATISTICS)))
     return train(x, table["label"].to_numpy(dtype=np.float64))
 
 
 def score(spark: SparkSession, docs: DataFrame, trees: Trees) -> DataFrame:
     """One row per input row: doc_id, score. Columns used: doc_id, text; null text is empty and
-    is scored as such; a null doc_id stays null."""
+    is scored as such; a null doc_id stays null. Repeated rows and equal texts get equal scores;
+    texts of any length are taken whole; an empty table gives no rows."""
     shared = spark.sparkContext.broadcast(trees)
 
     @tidy

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symbolgrid.llm.native import let, running_max, running_sum
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -47,23 +49,21 @@ FINDINGS = f"array<{SPAN}>"
 
 def rule_spans(text: Column, rule: Rule) -> Column:
     """array of struct(start, stop, kind): code-point offsets, stop exclusive."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    between = F.transform(F.split(text, rule.pattern, -1), F.length)
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        stop = start + F.length(pair["hit"])
-        value = F.length(F.regexp_replace(pair["hit"], "^" + rule.head, "")) if rule.head else F.length(pair["hit"])
-        span = F.array(F.struct(start.alias("start"), stop.alias("stop"), F.lit(rule.kind).alias("kind")))
-        kept = value >= rule.min_value
-        return F.struct(stop.alias("at"), F.when(kept, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def located(found: Column) -> Column:
+        gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found))
+        steps = F.zip_with(found, gaps, lambda hit, gap: F.length(hit) + F.length(gap))
+        ends = running_sum(steps)
+
+        def span(hit: Column, end: Column) -> Column:
+            value = F.length(F.regexp_replace(hit, "^" + rule.head, "")) if rule.head else F.length(hit)
+            return F.struct((end - F.length(hit)).alias("start"), end.alias("stop"), F.lit(rule.kind).alias("kind"), (value >= rule.min_value).alias("counts"))
+
+        kept = F.filter(F.zip_with(found, ends, span), lambda s: s["counts"])
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
 
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {FINDINGS})").alias("spans"))
-    pairs = F.zip_with(found, between, lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
-    hits = F.filter(pairs, lambda p: p["hit"].isNotNull())
-    return F.when(text.rlike(rule.pattern), F.aggregate(hits, start, step, lambda acc: acc["spans"])).otherwise(
-        F.expr(f"cast(array() as {FINDINGS})")
-    )
+    none = F.expr(f"cast(array() as {FINDINGS})")
+    return F.when(text.rlike(rule.pattern), let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), located)).otherwise(none)
 
 
 def blob_id(text: Column) -> Column:
@@ -103,8 +103,7 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
         todo = unseen.groupBy("blob").agg(F.min("path").alias("path"), F.collect_set("rule").alias("todo"))
     todo = todo.withColumnsRenamed({"blob": "todo_blob", "path": "todo_path"})
     same = (F.col("blob") == F.col("todo_blob")) & F.col("path").eqNullSafe(F.col("todo_path"))
-    # The rows to scan are hashed, not sorted: texts cross the network once and unsorted.
-    blobs = paths.join(todo.hint("shuffle_hash"), same).select("blob", "text", "todo")
+    blobs = paths.join(todo, same).select("blob", "text", "todo")
     return scan_blobs(blobs, rules).dropDuplicates(["blob", "rule"])
 
 
@@ -149,10 +148,15 @@ def spans_text(spans: Column) -> Column:
 def redact(text: Column, spans: Column, mask: str = "[secret]") -> Column:
     """The text with the union of its spans replaced by ``mask``."""
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+    def masked(found: Column) -> Column:
+        # The end of what the spans before cover, then each span's part of the output.
+        reach = running_max(F.transform(found, lambda s: s["stop"]))
+        before = F.concat(F.array(F.lit(0)), F.slice(reach, F.lit(1), F.size(found) - 1))
+
+        def part(s: Column, at: Column) -> Column:
+            return F.when(s["start"] >= at, F.concat(F.substr(text, at + 1, s["start"] - at), F.lit(mask))).otherwise("")
+
+        rest = F.substr(text, F.element_at(reach, -1) + 1)
+        return F.concat(F.array_join(F.zip_with(found, before, part), ""), rest)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    return F.when(F.size(spans) > 0, masked).otherwise(text)
+    return F.when(F.size(spans) > 0, let(spans, masked)).otherwise(text)
