@@ -34,11 +34,11 @@ def vectors(n, seed=1):
 @pytest.mark.parametrize("chunk", [4096, 40])
 def test_search_over_all_cells_is_exact(spark, monkeypatch, chunk):
     monkeypatch.setattr(imi, "CHUNK", chunk)
-    monkeypatch.setattr(imi, "BLOCK", 3)
+    monkeypatch.setattr(imi, "VISITS", 2)
     rows = vectors(700)
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, cell string, chunk int")
     got = {}
-    for r in imi.search_table(spark, df, share=1.0).collect():
+    for r in imi.search_table(spark, df, probe=10**6).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     want = brute_search(rows)
     assert {q: [x[:2] for x in sorted(v)] for q, v in got.items()} == {q: [x[:2] for x in v] for q, v in want.items()}
@@ -52,19 +52,26 @@ def test_search_when_a_query_id_is_repeated(spark):
     common = rng.normal(size=8).astype(np.float32).tolist()
     rows += [(100, common)] * 15 + [(201, common)] * 3 + [(202, common)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = [r.vec_id for r in imi.search_table(spark, df, share=1.0).orderBy("rank").collect()]
+    got = [r.vec_id for r in imi.search_table(spark, df, probe=10**6).orderBy("rank").collect()]
     assert got == [j for _, j, _ in brute_search(rows)[100]]
     assert got[:4] == [201, 201, 201, 202]
 
 
-def test_search_recall(spark):
+@pytest.mark.parametrize("clusters", [30, 0])
+def test_search_recall(spark, clusters):
+    """At the registered setting, on far more vectors than the first walk looks at."""
     rng = np.random.default_rng(2)
-    centres = rng.normal(size=(30, 8)) * 3
-    rows = [(i, (centres[i % 30] + rng.normal(size=8)).astype(np.float32).tolist()) for i in range(6000)]
+    centres = rng.normal(size=(30, 8)) * 3 * bool(clusters)
+    points = np.array([centres[i % 30] + rng.normal(size=8) for i in range(6000)]).astype(np.float32)
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     want = brute_search(rows)
-    hits = sum(r.vec_id in {j for _, j, _ in want[r.query_id]} for r in imi.search_table(spark, df, share=0.3).collect())
+    hits = sum(r.vec_id in {j for _, j, _ in want[r.query_id]} for r in imi.search_table(spark, df).collect())
     assert hits >= 0.9 * 10 * len(want)
+    # What is visited within the true bound: little of clustered vectors.
+    index = imi.Index(spark, df)
+    visited = [sum(index.cell_sizes[c] for c, mean, spread in index.books.walk(points[q].astype(float)) if mean - spread**0.5 <= found[-1][2] ** 2) for q, found in want.items()]
+    assert not clusters or np.mean(visited) < 0.25 * len(rows)
 
 
 def test_search_of_little(spark):
