@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 #: Symbol kinds.
 VARIABLE, FUNCTION, CLASS, INTERFACE, TYPE_ALIAS, ENUM, NAMESPACE, MODULE, METHOD, PROPERTY = range(10)
@@ -23,7 +23,7 @@ DEFAULT_EXCLUDES = (
     "**/build/**", "**/dist/**", "**/out/**", "**/.git/**",
 )
 MAX_FILE_BYTES = 1 << 20
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 SYMBOL = "name string, kind int, flags int, parent_qualifier string, source_path string, line int, col int"
 FILES = "path string, lang string, lang_group string, file_qualifier string, content_hash string, mtime long, n_exports int, status string"
@@ -35,6 +35,9 @@ EXTRACTED = (
     "exports array<struct<name:string,kind:int,flags:int,parent_qualifier:string,line:int,col:int>>, "
     f"re_exports array<struct<from_path:string,names:{RE_EXPORT_NAMES},is_type_only:boolean>>"
 )
+WORDS = "name string, name_lc string, bucket string, initials string"
+PACKAGES = "folder string, name string"
+ALIASES = "config string, ord int, pattern string, target string"
 QUERIES = (
     "query_id long, prefix string, current_path string, language string, `limit` int, "
     "already_imported array<string>, line_prefix string, line_suffix string"
@@ -54,20 +57,18 @@ class Settings:
     exclude: tuple[str, ...] = DEFAULT_EXCLUDES
     respect_all: bool = True
     include_inner: bool = True
-    libraries: bool = True
+    script_packages: bool = True
+    python_packages: bool = True
     extra_paths: tuple[str, ...] = ()
     package_depth: int = 3
     standard_library: bool = True
     runtime_library: bool = False
     min_prefix: int = 1
-    limit: int = 20
     type_imports: str = "auto"
-    resolve_namespace_exports: bool = False
-    extra: dict = field(default_factory=dict)
 
     def fingerprint(self) -> str:
         import hashlib
 
-        shape = (SCHEMA_VERSION, self.languages, self.exclude, self.respect_all, self.include_inner, self.libraries,
+        shape = (SCHEMA_VERSION, self.languages, self.exclude, self.respect_all, self.include_inner, self.script_packages, self.python_packages,
                  self.extra_paths, self.package_depth, self.standard_library, self.runtime_library)
         return hashlib.sha256(repr(shape).encode()).hexdigest()[:16]

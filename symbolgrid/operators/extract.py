@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symbolgrid import model
 from symbolgrid.functions import paths, text
 from symbolgrid.model import Settings
-from symbolgrid.parsing.extract import KEYWORDS, extract
+from symbolgrid.parsing.extract import HEAD, KEYWORDS, UNIT, extract
 
 
 def extract_files(files: DataFrame, settings: Settings) -> DataFrame:
@@ -59,35 +59,25 @@ def files_of(extracted: DataFrame) -> DataFrame:
 
 
 def python_line_symbols(files: DataFrame) -> DataFrame:
-    """The line patterns for Python as one relational plan: files(path, source) to (path, line,
-    name, kind). Docstrings are followed by a fold over the lines of a file."""
-    fences = ("\"\"\"", "'''")
-
-    def step(state: Column, raw: Column) -> Column:
-        code = F.trim(text.strip_comment(raw))
-        flat = (raw == "") | raw.rlike("^[ \t#]")
-        opens = F.when(~flat, F.when(code.startswith(fences[0]), fences[0]).when(code.startswith(fences[1]), fences[1]))
-        closed = (F.length(code) >= 6) & code.endswith(opens)
-        inside = state["fence"] != ""
-        fence = F.when(inside, F.when(raw.contains(state["fence"]), "").otherwise(state["fence"])).otherwise(F.when(opens.isNotNull() & ~closed, opens).otherwise(""))
-        live = F.when(inside | flat | opens.isNotNull(), "").otherwise(code)
-        return F.struct(fence.alias("fence"), F.concat(state["lines"], F.array(live)).alias("lines"))
-
-    start = F.struct(F.lit("").alias("fence"), F.array().cast("array<string>").alias("lines"))
-    lines = F.aggregate(F.split("source", "\n"), start, step, lambda s: s["lines"])
-    rows = files.select("path", F.posexplode(lines).alias("line", "code")).filter("code != ''")
-    pick = lambda pattern: F.nullif(F.regexp_extract("code", pattern, 1), F.lit(""))
-    listed = pick(r"^__all__\s*=\s*[\[(]([^\])]*)[\])]")
-    rows = rows.select(
-        "path", "line", listed.alias("listed"), F.col("code").rlike(r"^__all__\s*=\s*[\[(]").alias("is_list"),
-        pick(r"^class\s+([A-Za-z_]\w*)").alias("c"), pick(r"^(?:async\s+)?def\s+([A-Za-z_]\w*)").alias("d"),
-        pick(r"^([A-Za-z_]\w*)\s*(?::[^=]*)?=").alias("v"),
-    )
-    value = F.when(~F.col("v").isin(*KEYWORDS, "__all__"), F.col("v"))
-    kind = F.when(F.col("c").isNotNull(), model.CLASS).when(F.col("d").isNotNull(), model.FUNCTION).otherwise(model.VARIABLE)
+    """The line scanner for Python as one relational plan: files(path, source) to (path, line, name,
+    kind). A unit's line is the number of line ends in the units before it."""
+    units = files.select("path", F.posexplode(F.regexp_extract_all("source", F.lit(UNIT.replace(r"\Z", r"\z")), F.lit(0))).alias("unit_at", "unit"))
+    ends = F.length("unit") - F.length(F.replace("unit", F.lit("\n"), F.lit("")))
+    before = Window.partitionBy("path").orderBy("unit_at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = units.withColumn("line", F.coalesce(F.sum(ends).over(before), F.lit(0)).cast("int"))
+    open_ = placed.filter(F.col("unit").rlike("^[^ \t#\n'\"]"))
+    code = F.regexp_replace(text.strip_comment(F.col("unit")), r"^\s+|\s+$", "")
+    part = lambda k: F.regexp_extract("code", "^" + HEAD, k)
+    heads = open_.select("path", "line", code.alias("code")).select("path", "line", part(1).alias("declares"), part(2).alias("name"), part(3).alias("rest")).filter("name != ''")
+    value = F.ltrim(F.substr("rest", F.lit(2)))
+    closed = F.regexp_extract(value, r"^[\[(]([^\])]*)[\])]", 0)
+    is_list = (F.col("declares") == "") & (F.col("name") == "__all__") & F.col("rest").startswith("=") & (closed != "")
     whole = Window.partitionBy("path")
-    last = F.max_by(F.coalesce("listed", F.lit("")), F.when(F.col("is_list"), F.col("line"))).over(whole)
+    last = F.max_by(closed, F.when(is_list, F.col("line"))).over(whole)
     allowed = F.regexp_extract_all(last, F.lit("['\"]([^'\"]+)['\"]"), F.lit(1))
-    named = rows.select("path", "line", F.when(~F.col("is_list"), F.coalesce("c", "d", value)).alias("name"), kind.alias("kind"), allowed.alias("allowed"))
+    assigned = F.col("rest").startswith("=") | (F.col("rest").startswith(":") & F.col("rest").contains("="))
+    counts = F.when(F.col("declares") != "", F.lit(True)).otherwise(assigned & ~F.col("name").isin(*KEYWORDS, "__all__"))
+    kind = F.when(F.col("declares") == "class", model.CLASS).when(F.col("declares") != "", model.FUNCTION).otherwise(model.VARIABLE)
+    named = heads.select("path", "line", "name", kind.alias("kind"), counts.alias("counts"), allowed.alias("allowed"))
     keep = F.when(F.col("allowed").isNull(), ~F.col("name").startswith("_")).otherwise(F.array_contains("allowed", F.col("name")))
-    return named.filter(F.col("name").isNotNull() & keep).select("path", "line", "name", "kind")
+    return named.filter(F.col("counts") & keep).select("path", "line", "name", "kind")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def unchanged(incoming: DataFrame, stored: DataFrame, *key: str) -> DataFrame:
-    """Incoming rows that the store has with equal ``key`` columns, which need no work."""
-    return incoming.join(stored.select(*key).distinct(), list(key), "left_semi")
+def unread(listing: DataFrame, stored: DataFrame) -> DataFrame:
+    """Files of listing(path, mtime) that the store has not at that very time of change: only these
+    are opened."""
+    return listing.join(stored.select("path", "mtime").distinct(), ["path", "mtime"], "left_anti")
 
 
 def changed(incoming: DataFrame, stored: DataFrame, *key: str) -> DataFrame:

@@ -43,19 +43,19 @@ def prepared(queries: DataFrame) -> DataFrame:
 
 
 def candidates(words: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, name, stage, place): each query's names, ``place`` from 1 to its budget.
+    """(query_id, name, initials, stage, place): each query's names, ``place`` from 1 to its budget.
 
     Both stages are equi-joins: on the leading characters, and on the first letter with the
     prefix's second letter among the initials. The second stage sees only queries that the first
     left with budget to spare.
     """
     keys = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(KEY_CHARS)), lambda k: F.substring("name_lc", F.lit(1), k))))
-    by_key = words.select("name", "name_lc", keys.alias("key"))
+    by_key = words.select("name", "name_lc", "initials", keys.alias("key"))
     q = asked.select("query_id", "prefix_lc", "budget", F.substring("prefix_lc", 1, KEY_CHARS).alias("key"))
     order = Window.partitionBy("query_id").orderBy("name_lc", "name")
     first = by_key.join(q, "key").filter(F.expr("startswith(name_lc, prefix_lc)"))
     first = first.withColumn("place", F.row_number().over(order)).filter("place <= budget")
-    first = first.select("query_id", "name", "budget", F.lit(0).alias("stage"), "place")
+    first = first.select("query_id", "name", "initials", "budget", F.lit(0).alias("stage"), "place")
 
     used = first.groupBy("query_id").agg(F.max("place").alias("used"))
     spare = asked.filter(F.octet_length("prefix") >= 2).join(used, "query_id", "left")
@@ -66,8 +66,8 @@ def candidates(words: DataFrame, asked: DataFrame) -> DataFrame:
     second = by_letter.join(q, ["bucket", "letter"]).filter(~F.expr("startswith(name_lc, prefix_lc)"))
     second = second.filter(names.is_subsequence(F.col("prefix_lc"), F.col("initials")))
     second = second.withColumn("rank", F.row_number().over(order)).filter("rank <= spare")
-    second = second.select("query_id", "name", F.lit(1).alias("stage"), (F.col("rank") + F.col("used")).alias("place"))
-    return first.select("query_id", "name", "stage", "place").unionByName(second)
+    second = second.select("query_id", "name", "initials", F.lit(1).alias("stage"), (F.col("rank") + F.col("used")).alias("place"))
+    return first.select("query_id", "name", "initials", "stage", "place").unionByName(second)
 
 
 def without_imported(found: DataFrame, asked: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def scored(found: DataFrame, asked: DataFrame, symbols: DataFrame) -> DataFrame:
     rows = rows.filter((F.col("path") != F.coalesce("current_path", F.lit(""))) & (F.col("target_group") == F.col("query_group")))
     near = paths.proximity(F.coalesce("current_path", F.lit("")), F.col("path"))
     hint = {h: F.col("hint")[h] for h in context.HINTS}
-    points = scoring.score(F.col("prefix"), F.col("name"), F.col("kind"), F.col("flags"), paths.depth(F.col("path")), near, hint)
+    points = scoring.score(F.col("prefix"), F.col("name"), F.col("kind"), F.col("flags"), paths.depth(F.col("path")), near, hint, F.col("initials"))
     return rows.withColumn("score", points)
 
 

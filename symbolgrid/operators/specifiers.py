@@ -38,18 +38,28 @@ def matched_alias(pattern: Column, target: Column, path: Column) -> Column:
 
 
 def best_alias(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """rows(row_id, target_path) with ``alias``: the most specific applying rule's specifier, on
-    ties the first. ``rules``(ord, pattern, target), with absolute targets, come from one project
-    file and are few: they are broadcast if Spark finds them small. Rules whose target has a fixed
-    folder meet only files below that folder (an equi-join), not every file."""
+    """rows(row_id, target_path[, config]) with ``alias``: the most specific applying rule's
+    specifier, on ties the first. ``rules``(ord, pattern, target[, config]) have absolute targets;
+    where both have a config, a row meets the rules of its own. Rules whose target has a fixed folder
+    meet only files below that folder (an equi-join), not every file."""
+    own = ["config"] if "config" in rows.columns and "config" in rules.columns else []
     folder = paths.parent(F.regexp_replace("target", r"\*.*$", ""))
-    keyed = rules.select("ord", "pattern", "target", folder.alias("folder"))
-    at = rows.select("row_id", "target_path", F.explode(ancestors(F.col("target_path"))).alias("folder"))
-    met = at.join(keyed, "folder").withColumn("alias", matched_alias(F.col("pattern"), F.col("target"), F.col("target_path"))).filter("alias is not null")
+    keyed = rules.select(*own, "ord", "pattern", "target", folder.alias("folder"))
+    at = rows.select("row_id", *own, "target_path", F.explode(ancestors(F.col("target_path"))).alias("folder"))
+    met = at.join(keyed, ["folder", *own]).withColumn("alias", matched_alias(F.col("pattern"), F.col("target"), F.col("target_path"))).filter("alias is not null")
     weight = F.length(F.replace(F.col("pattern"), F.lit("*"), F.lit("")))
     return met.groupBy("row_id").agg(F.max_by("alias", F.struct(weight, -F.col("ord"))).alias("alias"))
 
 
+def aliases_of(suggestions: DataFrame, asked: DataFrame, rules: DataFrame) -> DataFrame:
+    """(row_id, alias) of suggestions(query_id, position, target_path), by the rules(config, ord,
+    pattern, target) of the project file nearest above the file that asked."""
+    rows = suggestions.join(asked.select("query_id", "current_path"), "query_id")
+    rows = rows.select(F.struct("query_id", "position").alias("row_id"), F.col("current_path").alias("path"), "target_path")
+    near = nearest_config(rows.select("row_id", "path"), rules.select("config").distinct())
+    return best_alias(rows.join(near, "row_id").select("row_id", "target_path", "config"), rules)
+
+
 def module_specifier(current: Column, target: Column, alias: Column | None = None, package: Column | None = None) -> Column:
     """Package, else alias, else relative path."""
     choices = [paths.node_specifier(target, package), *([alias] if alias is not None else []), paths.relative_specifier(current, target)]

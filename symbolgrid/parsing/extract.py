@@ -71,55 +71,52 @@ KEYWORDS = frozenset(
     "from import if elif else while for with try except finally return raise yield pass break continue global nonlocal "
     "assert del lambda not and or in is True False None class def async await".split()
 )
-_LINE = re.compile(
-    r"""__all__\s*=\s*[\[(](?P<all>[^\])]*)[\])]|class\s+(?P<class>[A-Za-z_]\w*)|(?:async\s+)?def\s+(?P<def>[A-Za-z_]\w*)
-    |(?P<set>[A-Za-z_]\w*)\s*(?::[^=]*)?=""",
-    re.X,
-)
+#: A unit of text: what a fence at the start of a line encloses, with the rest of the line it ends
+#: on, or else one line. Java's and Python's patterns agree on it.
+UNIT = r"""(?:\"\"\"[\s\S]*?(?:\"\"\"[^\n]*|\Z)|'''[\s\S]*?(?:'''[^\n]*|\Z)|[^\n]*)(?:\n|\Z)"""
+#: Code of a unit: everything up to a hash sign outside quotes; a backslash guards what follows it.
+CODE = r"""(?:[^#'"\\]|\\[\s\S]|\\$|'(?:[^'\\]|\\[\s\S])*(?:'|\\?$)|"(?:[^"\\]|\\[\s\S])*(?:"|\\?$))*"""
+#: A head: the word that declares, the name, and what follows it.
+HEAD = r"(?:(class|def|async\s+def)\s+)?([A-Za-z_]\w*)\s*([\s\S]*)"
+_UNIT, _CODE, _HEAD = re.compile(UNIT), re.compile(CODE), re.compile(HEAD)
 
 
 def code_part(line: str) -> str:
     """The line up to its first ``#`` outside quotes."""
-    quote, skip = "", False
-    for i, c in enumerate(line):
-        if skip:
-            skip = False
-        elif c == "\\":
-            skip = True
-        elif quote:
-            quote = "" if c == quote else quote
-        elif c in "'\"":
-            quote = c
-        elif c == "#":
-            return line[:i]
-    return line
+    return _CODE.match(line)[0]
+
+
+def assigns(rest: str) -> bool:
+    """Whether what follows a name gives it a value, with or without an annotation between."""
+    return rest.startswith("=") or (rest.startswith(":") and "=" in rest)
+
+
+def listed_names(rest: str) -> list[str] | None:
+    """Strings of the bracketed list that is assigned on one line; None if there is none."""
+    value = rest.removeprefix("=").lstrip()
+    inner, closed, _ = re.sub(r"[\])]", "\0", value[1:], count=1).partition("\0")
+    if not rest.startswith("=") or value[:1] not in ("[", "(") or not closed:
+        return None
+    return re.findall(r"['\"]([^'\"]+)['\"]", inner)
 
 
 def python_lines(source: str, respect_all: bool = True) -> Extraction:
-    """Patterns over unindented lines outside docstrings; tolerates any text."""
-    found, listed, fence = Extraction(status="fallback"), None, ""
-    for number, raw in enumerate(source.split("\n")):
-        if fence:
-            fence = "" if fence in raw else fence
-            continue
-        if not raw or raw[0] in " \t#":
-            continue
-        text = code_part(raw).strip()
-        mark = text[:3]
-        if mark in ('"""', "'''"):
-            fence = "" if len(text) >= 6 and text.endswith(mark) else mark
+    """Heads of units that start a line without indent; tolerates any text."""
+    found, listed, line = Extraction(status="fallback"), None, 0
+    for unit in _UNIT.findall(source):
+        number, line = line, line + unit.count("\n")
+        if unit[:1] in (" ", "\t", "#", "\n", "'", '"', ""):
             continue
-        m = _LINE.match(text)
-        if m is None:
+        head = _HEAD.match(code_part(unit).strip())
+        if head is None:
             continue
-        if m["all"] is not None:
-            listed = re.findall(r"['\"]([^'\"]+)['\"]", m["all"])
-        elif m["class"]:
-            found.add(m["class"], CLASS, line=number)
-        elif m["def"]:
-            found.add(m["def"], FUNCTION, line=number)
-        elif m["set"] not in KEYWORDS and m["set"] != "__all__":
-            found.add(m["set"], VARIABLE, line=number)
+        declares, name, rest = head.groups()
+        if declares:
+            found.add(name, CLASS if declares == "class" else FUNCTION, line=number)
+        elif name == "__all__":
+            listed = listed_names(rest) if listed_names(rest) is not None else listed
+        elif assigns(rest) and name not in KEYWORDS:
+            found.add(name, VARIABLE, line=number)
     return _public(found, listed if respect_all else None)
 
 

@@ -44,23 +44,19 @@ def subsequence_sql(wanted: str, letters: str) -> str:
     return f"({letters} LIKE '%' || array_to_string(string_split({wanted}, ''), '%') || '%')"
 
 
-def kind_case(kinds: dict[int, int], other: int) -> str:
-    return "CASE kind " + " ".join(f"WHEN {k} THEN {v}" for k, v in kinds.items()) + f" ELSE {other} END"
-
-
 def context_sql(hint: dict[str, str]) -> str:
-    parts = []
-    for name, (kinds, other) in scoring.BY_KIND.items():
-        more = ""
-        if name in scoring.BY_HINT_FLAG:
-            flag, score = scoring.BY_HINT_FLAG[name]
-            more = f" + CASE WHEN flags & {flag} != 0 THEN {score} ELSE 0 END"
-        parts.append(f"CASE WHEN {hint[name]} THEN {kind_case(kinds, other)}{more} ELSE 0 END")
-    parts.append(f"CASE WHEN flags & 2 != 0 AND NOT {hint['type']} AND ({hint['call']} OR {hint['construct']}) THEN -100 ELSE 0 END")
-    return "(" + " + ".join(parts) + ")"
+    """The table of context scores, written out: kinds 0 to 9 in order."""
+    return f"""(
+      CASE WHEN {hint["construct"]} THEN [0, -40, 160, -90, -90, 0, 0, 0, 0, 0][kind + 1] ELSE 0 END
+      + CASE WHEN {hint["type"]} THEN [-50, -70, 120, 120, 120, 120, 120, 0, 0, 0][kind + 1] + CASE WHEN flags & 2 != 0 THEN 45 ELSE 0 END ELSE 0 END
+      + CASE WHEN {hint["call"]} THEN [0, 90, 35, -80, -80, 0, 0, 0, 90, 0][kind + 1] ELSE 0 END
+      + CASE WHEN {hint["module"]} THEN [-25, -25, -25, -25, -25, -25, 120, 120, -25, -25][kind + 1] + CASE WHEN flags & 32 != 0 THEN 80 ELSE 0 END ELSE 0 END
+      + CASE WHEN {hint["annotation"]} THEN [-20, 70, 60, 60, 0, 0, 0, 0, 0, 0][kind + 1] ELSE 0 END
+      + CASE WHEN flags & 2 != 0 AND NOT {hint["type"]} AND ({hint["call"]} OR {hint["construct"]}) THEN -100 ELSE 0 END)"""
 
 
-FLAGS_SQL = " + ".join(f"CASE WHEN flags & {f} != 0 THEN {v} ELSE 0 END" for f, v in scoring.BY_FLAG.items())
+FLAGS_SQL = """CASE WHEN flags & 4 != 0 THEN -10 ELSE 0 END + CASE WHEN flags & 1 != 0 THEN 5 ELSE 0 END
+  + CASE WHEN flags & 64 != 0 THEN -25 ELSE 0 END + CASE WHEN flags & 32 != 0 THEN -3 ELSE 0 END"""
 
 
 def parents_sql(path: str) -> str:
@@ -70,7 +66,7 @@ def parents_sql(path: str) -> str:
 def proximity_sql(a: str, b: str, target: str) -> str:
     same = f"coalesce(list_position(list_transform(range(1, greatest(len({a}), len({b})) + 1), lambda i: coalesce({a}[i] = {b}[i], false)), false) - 1, len({a}))"
     steps = f"(len({a}) + len({b}) - 2 * {same})"
-    table = "CASE " + " ".join(f"WHEN {steps} = {d} THEN {s}" for d, s in paths.PROXIMITY.items()) + " ELSE 0 END"
+    table = f"coalesce([80, 55, 35, 20, 8, 8][{steps} + 1], 0)"
     outside = " OR ".join(f"contains({target}, '/{f}/')" for f in ("node_modules", "site-packages"))
     return f"CAST(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE {table} END + CASE WHEN {outside} THEN -25 ELSE 0 END AS INT)"
 
@@ -133,7 +129,7 @@ cand AS (SELECT query_id, name, stage, place FROM placed WHERE place <= budget)"
 
 @query(f"WITH {CANDIDATES_SQL} SELECT query_id, name, stage, place FROM cand")
 def candidate_budget(spark, sf_dir):
-    return lookup.candidates(_words(spark, sf_dir), lookup.prepared(p.queries(spark)))
+    return lookup.candidates(_words(spark, sf_dir), lookup.prepared(p.queries(spark))).drop("initials")
 
 
 @query(f"""WITH {CANDIDATES_SQL}
@@ -412,11 +408,11 @@ def strip_ext(spark, sf_dir):
 
 
 @query(f"""WITH {p.EXPORTS_SQL}, t AS (SELECT a.sym_id, split_part(a.path, '/', 3) AS t1, split_part(a.path, '/', 4) AS b1, split_part(b.path, '/', 3) AS t2, split_part(b.path, '/', 4) AS b2,
-  regexp_replace(split_part(b.path, '/', 5), '\\.(ts|js)$', '') AS f FROM exports a JOIN exports b ON b.sym_id = a.sym_id + 4 WHERE a.sym_id % 4 = 0)
+  regexp_replace(split_part(b.path, '/', 5), '\\.(ts|js)$', '') AS f FROM exports a JOIN exports b ON b.sym_id = a.sym_id + 4 WHERE a.path LIKE '%.ts' OR a.path LIKE '%.js')
 SELECT sym_id, CASE WHEN t1 = t2 AND b1 = b2 THEN './' || f WHEN t1 = t2 THEN '../' || b2 || '/' || f ELSE '../../' || t2 || '/' || b2 || '/' || f END AS specifier FROM t""")
 def relative_specifier(spark, sf_dir):
     e = p.exports(spark, sf_dir)
-    a = e.filter("sym_id % 4 = 0").select("sym_id", F.col("path").alias("a"))
+    a = e.filter(paths.group_of(paths.language_of(F.col("path"))) == "web").select("sym_id", F.col("path").alias("a"))
     b = e.select((F.col("sym_id") - 4).alias("sym_id"), F.col("path").alias("b"))
     return a.join(b, "sym_id").select("sym_id", paths.relative_specifier(F.col("a"), F.col("b")).alias("specifier"))
 
@@ -470,7 +466,13 @@ def nearest_ancestor(spark, sf_dir):
 # -- catalogue and increments -----------------------------------------------------------------------
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(repr(x) for x in catalog.node_rows())}) AS v(qualifier, name, kind, flags)")
+@query(f"""WITH line AS (SELECT trim(unnest(string_split(trim('{catalog.NODE}', chr(10)), chr(10)))) AS line),
+part AS (SELECT split_part(line, ' ', 1) AS qualifier, split_part(line, ' ', 2) AS whole, string_split(line, '|') AS part FROM line)
+SELECT qualifier, name, kind, 64 AS flags FROM (
+  SELECT qualifier, 2 AS kind, unnest(string_split(trim(part[2]), ' ')) AS name FROM part UNION ALL
+  SELECT qualifier, 1, unnest(string_split(trim(part[3]), ' ')) FROM part UNION ALL
+  SELECT qualifier, 0, unnest(string_split(trim(part[4]), ' ')) FROM part) WHERE name != ''
+UNION ALL SELECT DISTINCT qualifier, whole, 7, 96 FROM part WHERE whole != '-'""")
 def stdlib_catalog(spark, sf_dir):
     rows = catalog.symbols(spark, catalog.node_modules())
     return rows.select(F.col("file_qualifier").alias("qualifier"), "name", "kind", "flags")
@@ -495,6 +497,71 @@ def debounce_last(spark, sf_dir):
 @query(f"""WITH {p.EDITS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, seq DESC) AS r FROM edits)
 SELECT path, seq, source FROM r WHERE r = 1 AND op != 'delete'""")
 def upsert_delete_latest(spark, sf_dir):
-    last = incremental.latest(p.edits(spark, sf_dir), "path", "ts", "seq")
-    empty = last.limit(0).select("path", "seq", "source")
-    return incremental.upsert(empty, last.filter("op = 'upsert'").select("path", "seq", "source"), last.filter("op = 'delete'").select("path"))
+    """The first half of the time as one batch into an empty store, the rest as another upon it."""
+    edits = p.edits(spark, sf_dir)
+    middle = edits.agg(F.expr("timestamp_micros(cast((unix_micros(min(cast(ts as timestamp))) + unix_micros(max(cast(ts as timestamp)))) / 2 as bigint))").alias("middle"))
+    edits = edits.join(F.broadcast(middle))  # one row
+    store = edits.limit(0).select("path", "seq", "source")
+    for batch in (edits.filter("ts <= middle"), edits.filter("ts > middle")):
+        last = incremental.latest(batch, "path", "ts", "seq")
+        store = incremental.upsert(store, last.filter("op = 'upsert'").select("path", "seq", "source"), last.filter("op = 'delete'").select("path"))
+    return store
+
+
+@query(f"""WITH {p.EXPORTS_SQL}, f AS (SELECT path, max(sym_id) AS mtime FROM exports GROUP BY path)
+SELECT path, mtime FROM f WHERE mtime % 5 = 0""")
+def mtime_skip(spark, sf_dir):
+    """Files whose time of change is another than the store's are all that a warm start opens."""
+    listing = p.exports(spark, sf_dir).groupBy("path").agg(F.max("sym_id").alias("mtime"))
+    stored = listing.select("path", F.when(F.col("mtime") % 5 == 0, F.col("mtime") - 1).otherwise(F.col("mtime")).alias("mtime"))
+    return incremental.unread(listing, stored)
+
+
+# Every nation's barrel re-exports the next one's and its own customers: a chain of 25.
+_CHAIN_SQL = """chain AS (
+  SELECT '/n/' || n_nationkey || '.ts' AS barrel, 0 AS ord, '/c/' || n_nationkey || '.ts' AS target FROM nation
+  UNION ALL SELECT '/n/' || n_nationkey || '.ts', 1, '/n/' || (n_nationkey + 1) || '.ts' FROM nation WHERE n_nationkey < 24),
+reach AS (SELECT barrel, target FROM chain UNION SELECT r.barrel, s.target FROM reach r JOIN chain s ON s.barrel = r.target)"""
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda folder, c: F.concat(F.lit(f"/{folder}/"), c, F.lit(".ts"))
+    nation, n = p.table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    rows = nation.select(at("n", n).alias("barrel"), F.lit(0).alias("ord"), at("c", n).alias("target"))
+    rows = rows.unionByName(nation.filter("n_nationkey < 24").select(at("n", n).alias("barrel"), F.lit(1).alias("ord"), at("n", n + 1).alias("target")))
+    return rows.withColumn("names", F.lit(None).cast(model.RE_EXPORT_NAMES))
+
+
+@query(f"""WITH RECURSIVE {_OWN_SQL}, {_CHAIN_SQL}
+SELECT path, name FROM own GROUP BY ALL UNION SELECT r.barrel, o.name FROM reach r JOIN own o ON o.path = r.target WHERE o.flags & 1 = 0""")
+def flatten_deep_chain(spark, sf_dir):
+    return reexport.flatten_fixpoint(spark, _own(spark, sf_dir), _chain(spark, sf_dir)).select("path", "name").distinct()
+
+
+@query(f"WITH RECURSIVE {_CHAIN_SQL} SELECT barrel, target FROM reach")
+def deep_chain_closure(spark, sf_dir):
+    return reexport.reachable(spark, _chain(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_CHAIN_SQL}, changed AS (SELECT '/c/' || c_nationkey || '.ts' AS path FROM customer WHERE c_custkey % 50 = 0)
+SELECT path FROM changed UNION SELECT barrel FROM reach WHERE target IN (SELECT path FROM changed)""")
+def cascade_closure(spark, sf_dir):
+    changed = p.table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(F.concat(F.lit("/c/"), F.col("c_nationkey"), F.lit(".ts")).alias("path"))
+    return reexport.dependents_of(spark, changed, _chain(spark, sf_dir))
+
+
+@query(f"""WITH {p.EXPORTS_SQL}, cfg(config, pattern, folder) AS (VALUES ('/repo/tsconfig.json', '@/*', '/repo/'), ('/repo/tsconfig.json', '@eco/*', '/repo/economy/'), ('/repo/promo/tsconfig.json', '~/*', '/repo/promo/')),
+near AS (SELECT sym_id, path, CASE WHEN starts_with(path, '/repo/promo/') THEN '/repo/promo/tsconfig.json' ELSE '/repo/tsconfig.json' END AS config, '/repo/' || ['economy', 'promo', 'small'][CAST(sym_id % 3 AS INT) + 1] || '/x/y.ts' AS target FROM exports)
+SELECT sym_id, arg_max(replace(pattern, '*', replace(target[length(folder) + 1:], '.ts', '')), length(pattern)) AS specifier
+FROM near JOIN cfg ON cfg.config = near.config AND starts_with(target, folder) GROUP BY sym_id""")
+def specifier_preference(spark, sf_dir):
+    """Aliases of the project file nearest above the file that asks."""
+    from symbolgrid.operators import specifiers
+
+    rules = [("/repo/tsconfig.json", 0, "@/*", "/repo/*"), ("/repo/tsconfig.json", 1, "@eco/*", "/repo/economy/*"), ("/repo/promo/tsconfig.json", 0, "~/*", "/repo/promo/*")]
+    e = p.exports(spark, sf_dir)
+    asked = e.select(F.col("sym_id").alias("query_id"), F.col("path").alias("current_path"))
+    folder = F.element_at(F.array(F.lit("economy"), F.lit("promo"), F.lit("small")), (F.col("sym_id") % 3 + 1).cast("int"))
+    found = e.select(F.col("sym_id").alias("query_id"), F.lit(1).alias("position"), F.concat(F.lit("/repo/"), folder, F.lit("/x/y.ts")).alias("target_path"))
+    aliases = specifiers.aliases_of(found, asked, spark.createDataFrame(rules, model.ALIASES))
+    return aliases.select(F.col("row_id.query_id").alias("sym_id"), F.col("alias").alias("specifier"))

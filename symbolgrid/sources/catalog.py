@@ -148,11 +148,10 @@ def symbols(spark: SparkSession, catalogue: list[tuple]) -> DataFrame:
     return names.unionByName(whole).select(path.alias("path"), "name", "kind", "flags", F.col("qualifier").alias("file_qualifier"), none.alias("parent_qualifier"))
 
 
-def node_rows() -> list[tuple]:
-    """(qualifier, name, kind, flags) of Node's synthetic files, worked out without Spark."""
-    listed = [(q, n, k, STANDARD_LIBRARY) for _, q, _, n, k, _ in node_modules()]
-    whole = dict.fromkeys((q, m, MODULE, MODULE_IMPORT | STANDARD_LIBRARY) for _, q, m, *_ in node_modules() if m)
-    return listed + list(whole)
+def keyed(symbols: DataFrame) -> DataFrame:
+    """Library symbols with the language key that their path states; whole modules do not count."""
+    rows = symbols.filter(F.col("flags").bitwiseAND(F.lit(MODULE_IMPORT)) == 0)
+    return rows.withColumn("language_key", F.split("path", "/")[1])
 
 
 def counts(catalogue: DataFrame) -> DataFrame:

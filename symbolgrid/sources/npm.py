@@ -18,6 +18,8 @@ from symbolgrid.operators.reexport import first_existing
 SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
 #: Conditions of an exports map in the order of trial.
 CONDITIONS = ("types", "typescript", "default", "import", "require")
+#: Files that state the path aliases of a project.
+PROJECT_FILES = ("tsconfig.json", "jsconfig.json")
 #: What stands in for a script path, in the order of trial.
 DECLARATIONS = (".d.ts", ".d.mts", ".d.cts", ".ts", ".tsx")
 
@@ -96,18 +98,37 @@ def without_comments(source: str) -> str:
     return re.sub(r'("(?:\\.|[^"\\])*")|,(?=\s*[}\]])', lambda m: m[1] or "", bare, flags=re.S)
 
 
+def _extended(path: str, data: object) -> str | None:
+    """The project file that one extends by a path, as a path."""
+    parent = data.get("extends") if isinstance(data, dict) else None
+    if not isinstance(parent, str) or not parent.startswith((".", "/")):
+        return None
+    return posixpath.normpath(posixpath.join(posixpath.dirname(path), parent if parent.endswith(".json") else parent + ".json"))
+
+
+def _parsed(configs: list[tuple[str, str]]) -> dict[str, object]:
+    out = {}
+    for path, source in configs:
+        try:
+            out[path] = json.loads(without_comments(source))
+        except ValueError:
+            continue
+    return out
+
+
+def parents(configs: list[tuple[str, str]]) -> set[str]:
+    """Project files that (path, source) ones extend and that are not among them."""
+    found = {_extended(path, data) for path, data in _parsed(configs).items()}
+    return found - {None, *(path for path, _ in configs)}
+
+
 def path_aliases(configs: list[tuple[str, str]]) -> list[tuple[str, int, str, str]]:
     """(config, ord, pattern, absolute target) of project files (path, source), ``extends`` followed.
 
     A child's paths replace its parent's as a whole if there are any; a cycle ends the chain. The
     project files of one root are few and are read on the driver.
     """
-    parsed = {}
-    for path, source in configs:
-        try:
-            parsed[path] = json.loads(without_comments(source))
-        except ValueError:
-            continue
+    parsed = _parsed(configs)
 
     def of(path: str, seen: frozenset[str]) -> tuple[str, dict]:
         data = parsed.get(path)
@@ -117,10 +138,8 @@ def path_aliases(configs: list[tuple[str, str]]) -> list[tuple[str, int, str, st
         folder = posixpath.normpath(posixpath.join(posixpath.dirname(path), options.get("baseUrl") or "."))
         if options.get("paths"):
             return folder, options["paths"]
-        parent = data.get("extends")
-        if isinstance(parent, str) and parent.startswith((".", "/")):
-            name = parent if parent.endswith(".json") else parent + ".json"
-            return of(posixpath.normpath(posixpath.join(posixpath.dirname(path), name)), seen | {path})
+        if parent := _extended(path, data):
+            return of(parent, seen | {path})
         return folder, {}
 
     out = []

@@ -36,13 +36,10 @@ def as_files(changes: DataFrame) -> DataFrame:
 
 
 def apply(engine: Engine, batch: DataFrame) -> int:
-    """One micro-batch: of each path the last change by ``seq``; deletes, then upserts. Applying a
-    batch twice changes nothing, so a restart after a failure is safe."""
+    """One micro-batch: of each path the last change by ``seq``; upserts and deletes make one new
+    version. Applying a batch twice changes nothing, so a restart after a failure is safe."""
     last = incremental.latest(batch, "path", "seq")
-    gone = last.filter("op = 'delete'").select("path")
-    if not gone.isEmpty():
-        engine.remove(gone)
-    return engine.upsert(as_files(last.filter("op = 'upsert'")))
+    return engine.apply(as_files(last.filter("op = 'upsert'")), last.filter("op = 'delete'").select("path"))
 
 
 def follow(engine: Engine, changes: DataFrame, checkpoint: str, every: str = FLUSH, once: bool = False, gap: str | None = DEBOUNCE, progress: Callable[[int, int], None] | None = None) -> StreamingQuery:

@@ -144,8 +144,91 @@ def test_incremental_equals_rebuild(spark, engine, workspace, tmp_path):
     assert {x[:4] for x in symbols(other)} == {x[:4] for x in before}
 
 
+def test_changes_up_a_long_chain_equal_a_rebuild(spark, tmp_path):
+    """Only what depends on a change is resolved anew, and it comes out as a rebuild has it."""
+    root = tmp_path / "tree"
+    root.mkdir()
+    for k in range(14):
+        (root / f"b{k}.ts").write_text(f"export * from './b{k + 1}';\nexport class B{k} {{}}\n")
+    (root / "b14.ts").write_text("export class Deep {}\n")
+    (root / "apart.ts").write_text("export * from './other';\n")
+    (root / "other.ts").write_text("export class Other {}\n")
+    settings = Settings(str(root), standard_library=False, script_packages=False, python_packages=False)
+    e = Engine(spark, settings, str(tmp_path / "store"))
+    e.build()
+    assert {x[1] for x in symbols(e) if x[0] == "b0.ts"} == {"Deep", *[f"B{k}" for k in range(14)]}
+    (root / "b14.ts").write_text("export class Deeper {}\n")
+    (root / "b7.ts").unlink()
+    (root / "late.ts").write_text("export * from './b10';\n")
+    assert e.refresh() == 2
+    assert e.refresh() == 0
+    again = Engine(spark, settings, str(tmp_path / "again"))
+    again.build()
+    assert symbols(e) == symbols(again)
+    assert {x[1] for x in symbols(e) if x[0] == "b0.ts"} == {f"B{k}" for k in range(7)}
+    assert {x[1] for x in symbols(e) if x[0] == "b8.ts"} == {"Deeper", *[f"B{k}" for k in range(8, 14)]}
+
+
+def test_a_warm_start_opens_changed_files_only(spark, tmp_path, monkeypatch):
+    root = tmp_path / "tree"
+    root.mkdir()
+    for k in range(3):
+        (root / f"f{k}.ts").write_text(f"export class F{k} {{}}\n")
+    settings = Settings(str(root), standard_library=False, script_packages=False, python_packages=False)
+    Engine(spark, settings, str(tmp_path / "store")).build()
+    e = Engine.open(spark, settings, str(tmp_path / "store"))
+    opened = []
+    plain = tree.with_content
+    monkeypatch.setattr(tree, "with_content", lambda listing, base: (opened.extend(r.path for r in listing.collect()), plain(listing, base))[1])
+    assert e.refresh() == 0 and not opened
+    (root / "f1.ts").write_text("export class Other {}\n")
+    assert e.refresh() == 1
+    assert {x.rpartition("/")[2] for x in opened} == {"f1.ts"}
+
+
+def test_a_prefix_reaches_the_scan_of_the_dictionary(engine):
+    from symbolgrid.operators import lookup
+
+    found = lookup.prefix_range(engine.tables["words"], "Us")
+    assert {"User", "UserId"} <= {r.name for r in found.collect()}
+    plan = found._jdf.queryExecution().toString()
+    assert "StringStartsWith(name_lc,us)" in plan
+
+
+def test_aliases_and_package_names_reach_the_edits(spark, tmp_path):
+    root = tmp_path / "tree"
+    files = {
+        "tsconfig.json": '{ "extends": "./configs/base" }',
+        "configs/base.json": '{"compilerOptions": {"baseUrl": "..", "paths": {"@/*": ["src/*"]}}}',
+        "src/deep/model/user.ts": "export class User {}\n",
+        "src/app/main.ts": "Us\n",
+        "package.json": json.dumps({"dependencies": {"alias-dir": "*"}}),
+        "node_modules/alias-dir/package.json": json.dumps({"name": "real-name", "types": "index.d.ts"}),
+        "node_modules/alias-dir/index.d.ts": "export declare class UsefulClient {}\n",
+    }
+    for path, content in files.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(content)
+    e = Engine(spark, Settings(str(root), standard_library=False, python_packages=False), str(tmp_path / "store"))
+    e.build()
+    path = f"{root}/src/app/main.ts"
+    got = e.query_edits(spark.createDataFrame([query_row(0, "Us", path)], model.QUERIES), tree.from_memory(spark, [(path, "Us\n")])).collect()
+    assert "import { User } from '@/deep/model/user';\n" in [r.edits[0]["text"] for r in got if r.name == "User"]
+    assert {r.name for r in e.tables["packages"].collect()} == {"real-name"}
+    assert [r.specifier for r in got if r.name == "UsefulClient"] == ["alias-dir"]
+
+
+def test_cycles_with_different_symbols_of_one_name_end(spark):
+    own = spark.createDataFrame([("/c.ts", 0, "X", 2, 0), ("/d.ts", 0, "X", 1, 0)], "path string, ord int, name string, kind int, flags int")
+    own = own.withColumns({c: F.lit(None).cast("string") for c in ("parent_qualifier", "source_path")}).withColumns({"line": F.lit(0), "col": F.lit(0)})
+    links = [("/a.ts", 0, "/b.ts", None), ("/a.ts", 1, "/c.ts", None), ("/b.ts", 0, "/a.ts", None), ("/b.ts", 1, "/d.ts", None)]
+    edges = spark.createDataFrame(links, f"barrel string, ord int, target string, names {model.RE_EXPORT_NAMES}")
+    got = sorted((r.path, r.name) for r in reexport.flatten_fixpoint(spark, own, edges).collect())
+    assert got == [("/a.ts", "X"), ("/b.ts", "X"), ("/c.ts", "X"), ("/d.ts", "X")]
+
+
 def test_stream(spark, engine, workspace, tmp_path):
-    e = Engine(spark, Settings(workspace, standard_library=False, libraries=False), str(tmp_path / "store"))
+    e = Engine(spark, Settings(workspace, standard_library=False, script_packages=False, python_packages=False), str(tmp_path / "store"))
     e.build()
     feed, path = tmp_path / "feed", f"{workspace}/src/live.ts"
     feed.mkdir()
