@@ -7,6 +7,12 @@ raked weight against the cell's tokens, times the budget. It is above 1 for scar
 repeated; clipping it would give back the mixture there was. A hash of the document decides on the
 fraction of the rate.
 
+Topics are clusters of word profiles. A profile is the document's counts of words by hash slot, taken
+against the mean profile of its language, so that a topic is not just a language. The clusters'
+centres are found by rounds over all documents (spherical k-means from a fixed start), each of
+which sends the driver ``TOPICS`` times ``SLOTS`` sums, whatever the corpus. Sums are of integers, so
+a task that runs again adds the same.
+
 Only cell totals are ever shuffled; a document's cell is joined back to it by key.
 """
 
@@ -23,7 +29,8 @@ from symbolgrid.llm.durable import Store
 from symbolgrid.llm.words import Words, filled, pieces, tidy
 
 KEYS = ("source", "lang", "topic")
-TOPICS = 8
+#: Topics, slots of a profile, rounds of clustering; words of fewer bytes than LEAST say little.
+TOPICS, SLOTS, ROUNDS, LEAST = 8, 256, 3, 5
 #: Default targets are the present shares to this power, made to sum to one: rarer gets more.
 TEMPER = 0.8
 SWEEPS, TOLERANCE = 20, 1e-4
@@ -36,22 +43,85 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text"):
             words, n = Words(filled(part.column("text")), lower=True), part.num_rows
-            votes = words.text * TOPICS + (words.hashes % np.uint64(TOPICS)).astype(np.int64)
-            long_ = words.stops - words.starts >= 5
-            topic = np.bincount(votes[long_], minlength=n * TOPICS).reshape(n, TOPICS).argmax(axis=1)
+            slots = words.text * SLOTS + (words.hashes % np.uint64(SLOTS)).astype(np.int64)
+            counts = np.sqrt(np.bincount(slots[words.stops - words.starts >= LEAST], minlength=n * SLOTS).reshape(n, SLOTS))
+            profile = np.rint(255 * counts / np.maximum(np.sqrt((counts**2).sum(axis=1, keepdims=True)), 1)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in ("doc_id", "content", "source", "lang")), pa.array([f"t{t}" for t in topic.tolist()], pa.string()), pa.array(words.counts.astype(np.int64))],
-                names=["doc_id", "content", "source", "lang", "topic", "tokens"],
+                [*(part.column(c) for c in ("doc_id", "content", "source", "lang")), pa.array(words.counts.astype(np.int64)), pa.array([x.tobytes() for x in profile], pa.binary())],
+                names=["doc_id", "content", "source", "lang", "tokens", "profile"],
             )
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, content, source, lang, topic, tokens. A topic is the commonest of TOPICS hash
-    classes among the text's words of five bytes or more (ties: the first); null source or lang
-    become the empty string."""
+def _profiles(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("profile").to_pylist()), dtype=np.uint8).reshape(-1, SLOTS).astype(np.float64)
+
+
+def against(profiles: np.ndarray, langs: list[str], means: dict[str, np.ndarray]) -> np.ndarray:
+    """Profiles less the mean of their language, as unit vectors; a profile of nothing stays nothing."""
+    rest = profiles - np.array([means[x] for x in langs]).reshape(-1, SLOTS)
+    rest[~profiles.any(axis=1)] = 0
+    return rest / np.maximum(np.sqrt((rest**2).sum(axis=1, keepdims=True)), 1e-9)
+
+
+def _sums(rows: DataFrame, key: str, kind: str, of) -> dict:
+    """Sums of integer vectors by a key of few values: (vector, count) for each. ``of`` gives keys and vectors of a batch."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            keys, vectors = of(batch)
+            for k in dict.fromkeys(keys):
+                mine = vectors[[x == k for x in keys]]
+                held = total.setdefault(k, np.zeros(SLOTS + 1, dtype=np.int64))
+                held[:SLOTS] += mine.sum(axis=0)
+                held[SLOTS] += len(mine)
+        for k, held in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * (SLOTS + 1)), pa.array(np.arange(SLOTS + 1)), pa.array(held)], names=[key, "slot", "n"])
+
+    table = rows.select("lang", "profile").mapInArrow(run, f"{key} {kind}, slot long, n long").groupBy(key, "slot").agg(F.sum("n").alias("n")).collect()
+    out: dict = {}
+    for r in table:
+        out.setdefault(r[key], np.zeros(SLOTS + 1))[r["slot"]] = r["n"]
+    return {k: (v[:SLOTS], v[SLOTS]) for k, v in out.items()}
+
+
+def topics(rows: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Centres of the topics and mean profiles of the languages, from rows(lang, profile)."""
+    found = _sums(rows, "lang", "string", lambda b: (b.column("lang").to_pylist(), _profiles(b).astype(np.int64)))
+    means = {lang: total / n for lang, (total, n) in found.items()}
+    centres = (np.arange(SLOTS)[None, :] % TOPICS == np.arange(TOPICS)[:, None]) / np.sqrt(SLOTS / TOPICS)
+    for _ in range(ROUNDS):
+        now = centres.copy()
+
+        def assigned(batch: pa.RecordBatch, now: np.ndarray = now) -> tuple[list[int], np.ndarray]:
+            vectors = against(_profiles(batch), batch.column("lang").to_pylist(), means)
+            return (vectors @ now.T).argmax(axis=1).tolist(), np.rint(vectors * (1 << 20)).astype(np.int64)
+
+        for k, (total, _) in _sums(rows, "topic", "long", assigned).items():
+            if total.any():
+                centres[k] = total / np.sqrt((total**2).sum())
+    return centres, means
+
+
+def describe(store: Store, docs: DataFrame) -> DataFrame:
+    """doc_id, content, source, lang, topic, tokens. Null source or lang become the empty string; a
+    text without words of LEAST bytes is of topic t0, as are ties."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), text("source"), text("lang"), "text")
-    return rows.mapInArrow(_describe, "doc_id long, content long, source string, lang string, topic string, tokens long")
+    rows = store.put("profiles", rows.mapInArrow(_describe, "doc_id long, content long, source string, lang string, tokens long, profile binary"))
+    centres, means = topics(rows)
+
+    @tidy
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            topic = (against(_profiles(batch), batch.column("lang").to_pylist(), means) @ centres.T).argmax(axis=1)
+            columns = [*(batch.column(c) for c in ("doc_id", "content", "source", "lang")), pa.array([f"t{t}" for t in topic.tolist()], pa.string()), batch.column("tokens")]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "source", "lang", "topic", "tokens"])
+
+    out = store.put("rows", rows.mapInArrow(label, "doc_id long, content long, source string, lang string, topic string, tokens long"))
+    store.drop("profiles")
+    return out
 
 
 def tempered(cells: DataFrame, key: str, temper: float = TEMPER) -> DataFrame:
@@ -117,19 +187,32 @@ def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, fl
     a category not listed keeps its present share.
     Columns used: doc_id, text, lang, source; others are ignored. Null source or lang are a
     category of their own. Documents without words have no tokens to weigh: rate 1.
-    Repeated rows are decided alike. An empty table gives no rows.
+    Repeated rows are decided alike. Texts of any length are taken whole. An empty table gives no
+    rows. See ``marginals`` for what the sample holds.
     """
     store = Store(spark, "mixing")
-    rows = store.put("rows", describe(docs))
+    rows = describe(store, docs)
     cells = store.put("cells", rows.groupBy(*KEYS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")))
     given = {key: spark.createDataFrame([(k, float(v)) for k, v in shares.items()], f"{key} string, target double") for key, shares in (targets or {}).items()}
     # Targets are written once: a sweep reads them and does not derive them again.
     target = {key: store.put(f"target-{key}", completed(cells, key, given[key]) if key in given else tempered(cells, key)) for key in KEYS}
     raked = rake(store, cells, target)
     weights = store.put("calibrated", calibrate(raked, budget).select(*KEYS, "rate"))
+    store.keep("rows", "calibrated")
     joined = rows.join(weights, list(KEYS), "left")
     joined = joined.withColumn("rate", F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("rate", F.lit(0.0))))
     dice = F.shiftrightunsigned(F.xxhash64("doc_id", "content", F.lit(seed)), 11) / F.lit(float(1 << 53))
     copies = (F.floor("rate") + (dice < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
     probability = F.least(F.lit(1.0), F.col("rate"))
     return joined.select("doc_id", "content", *KEYS, "tokens", probability.alias("probability"), (copies > 0).alias("selected"), "rate", copies.alias("copies"))
+
+
+def marginals(sampled: DataFrame) -> DataFrame:
+    """(marginal, category, present, wanted, sampled): token shares of what sample() returned: as they
+    are, as the rates have them in expectation, and as the drawn copies have them."""
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("marginal"), F.col(k).alias("category")) for k in KEYS])).alias("of")
+    each = sampled.select(parts, "tokens", "rate", "copies").groupBy("of")
+    sums = each.agg(F.sum("tokens").alias("present"), F.sum(F.col("tokens") * F.col("rate")).alias("wanted"), F.sum(F.col("tokens") * F.col("copies")).alias("sampled"))
+    whole = sums.groupBy("of.marginal").agg(*[F.sum(c).alias(f"all_{c}") for c in ("present", "wanted", "sampled")])
+    joined = sums.select("of.*", "present", "wanted", "sampled").join(whole, "marginal")
+    return joined.select("marginal", "category", *[F.try_divide(F.col(c).cast("double"), F.col(f"all_{c}")).alias(c) for c in ("present", "wanted", "sampled")])

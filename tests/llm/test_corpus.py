@@ -85,10 +85,14 @@ def test_search_of_little(spark):
 
 def test_cells_come_by_rising_distance():
     rng = np.random.default_rng(3)
-    books = imi.Codebooks(rng.normal(size=(6, 4)), rng.normal(size=(5, 4)))
+    books = imi.Codebooks(rng.normal(size=(6, 4)), rng.normal(size=(5, 4)), rng.normal(size=(500, 8)))
     q = rng.normal(size=8)
-    cells = list(books.walk(q))
-    distance = [((books.first[c // 5] - q[:4]) ** 2).sum() + ((books.second[c % 5] - q[4:]) ** 2).sum() for c in cells]
+    walked = list(books.walk(q))
+    cells = [c for c, _, _ in walked]
+    a, b = (((c - x) ** 2).sum(axis=1) for c, x in ((books.first, q[:4]), (books.second, q[4:])))
+    distance = [a[c // 5] + books.loose[0][c // 5] + b[c % 5] + books.loose[1][c % 5] for c in cells]
+    assert np.allclose(distance, [m for _, m, _ in walked])
+    assert max(v for _, _, v in walked) ** 0.5 <= books.widest(q) + 1e-9
     assert sorted(cells) == list(range(30))
     assert np.allclose(distance, sorted(distance))
 
@@ -126,6 +130,36 @@ def test_raking_equals_numpy(spark, documents):
     assert sum(r.tokens for r in got if r.selected) / total == pytest.approx(0.5, abs=0.08)
 
 
+def test_topics_follow_the_words(spark, documents):
+    """Texts of one vocabulary are of one topic, in every language; a topic is not a language."""
+    rng = random.Random(9)
+    themes = [[f"theme{t}word{k}" for k in range(60)] for t in range(4)]
+    rows = []
+    for k in range(800):
+        lang, theme = rng.choice(["en", "fr"]), rng.randrange(4)
+        common = [f"{lang}common{rng.randrange(30)}" for _ in range(40)]
+        rows.append((k, " ".join(common + [rng.choice(themes[theme]) for _ in range(60)]), lang, f"theme{theme}"))
+    got = collections.Counter((r.source, r.lang, r.topic) for r in mixing.sample(spark, documents(rows)).collect())
+    whole = collections.Counter(r[3] for r in rows)
+    for theme in whole:
+        best = max(collections.Counter({t: sum(n for (s, _, x), n in got.items() if s == theme and x == t) for t in {x for _, _, x in got}}).values())
+        assert best > 0.5 * whole[theme]
+    languages = {t: {lang for (_, lang, x), n in got.items() if x == t and n > 5} for t in {x for _, _, x in got}}
+    assert sum(len(v) == 2 for v in languages.values()) >= 3
+
+
+@pytest.mark.parametrize("budget", [0.9, 0.05])
+def test_marginals_of_the_sample_are_the_targets(spark, documents, budget):
+    rng = random.Random(5)
+    rows = [(k, prose(rng, rng.randrange(20, 60)), rng.choice("xy"), rng.choice("aaaaab")) for k in range(6000)]
+    want = {"a": 0.4, "b": 0.6}
+    got = {(r.marginal, r.category): r for r in mixing.marginals(mixing.sample(spark, documents(rows), {"source": want}, budget)).collect()}
+    for category, share in want.items():
+        assert abs(got["source", category].wanted - share) < 0.001
+        assert abs(got["source", category].sampled - share) < 0.05
+    assert got["source", "a"].present > 0.8
+
+
 def test_mixing_awkward_rows(spark, documents):
     got = mixing.sample(spark, documents([*AWKWARD, (50, "some words here", None, None)])).collect()
     assert len(got) == len(AWKWARD) + 1
