@@ -34,9 +34,11 @@ class Store:
         self.names: set[str] = set()
         self.root = f"{shared_dir(spark).rstrip('/')}/{owner}-{uuid.uuid4().hex[:12]}"
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
+    def put(self, name: str, df: DataFrame, files: int | None = None) -> DataFrame:
+        """``files``: for tables of a row a group or so, which would else be a file for each task."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        rows = df.repartition(files) if files else df
+        rows.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symbolgrid.llm.durable import Store
@@ -34,6 +34,8 @@ TOPICS, SLOTS, ROUNDS, LEAST = 8, 256, 3, 5
 #: Default targets are the present shares to this power, made to sum to one: rarer gets more.
 TEMPER = 0.8
 SWEEPS, TOLERANCE = 20, 1e-4
+#: Sweeps between two looks at the marginals.
+TOGETHER = 4
 #: Share of all tokens that the sample is to hold.
 BUDGET = 0.9
 
@@ -144,25 +146,27 @@ def completed(cells: DataFrame, key: str, given: DataFrame) -> DataFrame:
 def rake(store: Store, cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells with ``weight``: token shares with the targets as marginals.
 
-    A sweep scales to each marginal in turn. Sweeps end when every marginal was within
-    ``tolerance`` of its target before it was scaled, or after ``sweeps``. Categories without
-    tokens cannot be given any; targets count relative to the categories present.
+    A sweep scales to each marginal in turn: one window sum over the cells for each. Sweeps end when
+    every marginal was within ``tolerance`` of its target before it was scaled, or after ``sweeps``.
+    Categories without tokens cannot be given any; targets count relative to the categories present.
     """
     total = cells.agg(F.sum("tokens").alias("all")).collect()[0]["all"]
     present = cells.filter("tokens > 0").withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
-    present = store.put("weights0", present)
+    for key, target in targets.items():
+        present = present.join(target.select(key, F.col("target").alias(f"target_{key}")), key)
     if not total:
         return present
-    for k in range(sweeps):
-        now, off = present, F.lit(0.0)
-        for key, target in targets.items():
-            sums = now.groupBy(key).agg(F.sum("weight").alias("sum")).join(target, key)
-            ratio = sums.select(key, (F.col("target") / F.col("sum")).alias("ratio"))
-            now = now.join(ratio, key).withColumns({"weight": F.col("weight") * F.col("ratio"), f"off_{key}": F.abs(F.col("ratio") - 1)}).drop("ratio")
-        now = store.put(f"weights{k + 1}", now)
-        store.drop(f"weights{k}")
-        off = now.agg(F.max(F.greatest(*[f"off_{key}" for key in targets], F.lit(0.0))).alias("off")).collect()[0]["off"]
-        present = now.drop(*[f"off_{key}" for key in targets])
+    for k in range(0, sweeps, TOGETHER):
+        now = present
+        for _ in range(TOGETHER):
+            off = F.lit(0.0)
+            for key in targets:
+                ratio = F.col(f"target_{key}") / F.sum("weight").over(Window.partitionBy(key))
+                now = now.withColumn("ratio", ratio).withColumns({"weight": F.col("weight") * F.col("ratio"), f"off_{key}": F.abs(F.col("ratio") - 1)})
+                off = F.greatest(off, F.col(f"off_{key}"))
+        now = store.put(f"weights{k}", now.withColumn("off", off).drop("ratio"), files=4)
+        off = now.agg(F.max("off").alias("off")).collect()[0]["off"]
+        present = now.drop("off", *[f"off_{key}" for key in targets])
         if off is None or off < tolerance:
             break
     return present
@@ -192,12 +196,12 @@ def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, fl
     """
     store = Store(spark, "mixing")
     rows = describe(store, docs)
-    cells = store.put("cells", rows.groupBy(*KEYS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")))
+    cells = store.put("cells", rows.groupBy(*KEYS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")), files=4)
     given = {key: spark.createDataFrame([(k, float(v)) for k, v in shares.items()], f"{key} string, target double") for key, shares in (targets or {}).items()}
     # Targets are written once: a sweep reads them and does not derive them again.
-    target = {key: store.put(f"target-{key}", completed(cells, key, given[key]) if key in given else tempered(cells, key)) for key in KEYS}
+    target = {key: store.put(f"target-{key}", completed(cells, key, given[key]) if key in given else tempered(cells, key), files=1) for key in KEYS}
     raked = rake(store, cells, target)
-    weights = store.put("calibrated", calibrate(raked, budget).select(*KEYS, "rate"))
+    weights = store.put("calibrated", calibrate(raked, budget).select(*KEYS, "rate"), files=4)
     store.keep("rows", "calibrated")
     joined = rows.join(weights, list(KEYS), "left")
     joined = joined.withColumn("rate", F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("rate", F.lit(0.0))))

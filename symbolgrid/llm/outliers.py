@@ -197,7 +197,7 @@ def concentrate(store: Store, rows: DataFrame, estimate: DataFrame, name: str) -
     grid = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(2.0**LOWEST))) * BINS_PER_DOUBLING)
     binned = with_distance(rows, estimate.drop("scale", "log_det")).withColumn("bin", F.least(grid, F.lit(HIGHEST * BINS_PER_DOUBLING)))
     # As a table it has a row a bin; without, a window's task would get one of each map task.
-    found = store.put(f"moments{name}", moments(binned, *GROUP, "start", "bin"))
+    found = store.put(f"moments{name}", moments(binned, *GROUP, "start", "bin"), files=4)
     group = Window.partitionBy(*GROUP, "start")
     before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = found.withColumns({"before": before, "all": F.sum("n").over(group)})
@@ -206,12 +206,12 @@ def concentrate(store: Store, rows: DataFrame, estimate: DataFrame, name: str) -
     names = ["n", *[f"s_{i}" for i in range(P)], *[f"s_{i}_{j}" for i, j in PAIRS]]
     sums = ranked.groupBy(*GROUP, "start").agg(F.min(middle).alias("median"), *[F.sum(part * F.col(c)).alias(c) for c in names])
     scale = F.greatest(F.col("median") / CHI2_MEDIAN, 1 / (1 + PRIOR / (F.col("n") + PRIOR)))
-    return store.put(f"estimate{name}", from_moments(sums.withColumn("scale", scale), "start", "scale"))
+    return from_moments(sums.withColumn("scale", scale), "start", "scale")
 
 
 def estimates(store: Store, rows: DataFrame) -> DataFrame:
     """Per group the estimate of the smaller determinant, from rows(lang, source, x0..x4)."""
-    estimate = store.put("estimate", starts(rows))
+    estimate = store.put("starts", starts(rows), files=1)
     for step in range(STEPS):
         after = concentrate(store, rows, estimate, str(step))
         both = after.join(estimate.select(*GROUP, "start", F.col("log_det").alias("last")), [*GROUP, "start"])
@@ -221,7 +221,7 @@ def estimates(store: Store, rows: DataFrame) -> DataFrame:
             break
     columns = [c for c in estimate.columns if c not in (*GROUP, "start")]
     best = estimate.groupBy(*GROUP).agg(F.min(F.struct("log_det", "start", *[c for c in columns if c != "log_det"])).alias("best"))
-    return store.put("best", best.select(*GROUP, *[F.col(f"best.{c}").alias(c) for c in columns]))
+    return store.put("best", best.select(*GROUP, *[F.col(f"best.{c}").alias(c) for c in columns]), files=1)
 
 
 def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
