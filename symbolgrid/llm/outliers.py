@@ -206,7 +206,8 @@ def concentrate(store: Store, rows: DataFrame, estimate: DataFrame, name: str) -
     names = ["n", *[f"s_{i}" for i in range(P)], *[f"s_{i}_{j}" for i, j in PAIRS]]
     sums = ranked.groupBy(*GROUP, "start").agg(F.min(middle).alias("median"), *[F.sum(part * F.col(c)).alias(c) for c in names])
     scale = F.greatest(F.col("median") / CHI2_MEDIAN, 1 / (1 + PRIOR / (F.col("n") + PRIOR)))
-    return from_moments(sums.withColumn("scale", scale), "start", "scale")
+    # A table's size is known to the planner: while it is small, no document is dealt by its group.
+    return store.put(f"estimate{name}", from_moments(sums.withColumn("scale", scale), "start", "scale"), files=1)
 
 
 def estimates(store: Store, rows: DataFrame) -> DataFrame:
