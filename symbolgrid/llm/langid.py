@@ -187,9 +187,10 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model:
     slots. No rows give a model of no languages."""
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
     rows = docs.select(F.col("doc_id").alias("taught"), F.col("lang").alias("taught_lang"), place.alias("place")).filter("lang is not null and text is not null")
-    # Twice the share that would do, so that no task orders the documents of a common language.
+    # Twice the share that would do, so that no task orders the documents of a common language. What
+    # is broadcast has a row a language, as the model itself.
     share = rows.groupBy(F.col("taught_lang").alias("some_lang")).agg((2.0 * sample / F.count(F.lit(1))).alias("share"))
-    near = rows.join(share, (F.col("taught_lang") == F.col("some_lang")) & (F.col("place") <= F.col("share"))).select("taught", "taught_lang", "place").distinct()
+    near = rows.join(F.broadcast(share), (F.col("taught_lang") == F.col("some_lang")) & (F.col("place") <= F.col("share"))).select("taught", "taught_lang", "place").distinct()
     order = Window.partitionBy("taught_lang").orderBy("place", "taught")
     chosen = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample).select("taught", "taught_lang")
     same = docs["doc_id"].eqNullSafe(F.col("taught")) & (docs["lang"] == F.col("taught_lang"))
@@ -214,7 +215,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 1 << 20):  # a step of Viterbi costs the same for few texts as for many
                 langs, score, spans = label_texts(shared.value, filled(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs), pa.array(score), spans.cast(_SPAN)], names=["doc_id", "lang_pred", "score", "spans"])
 
