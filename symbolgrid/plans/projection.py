@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolgrid import model
@@ -43,6 +43,15 @@ exports AS (
 ), words AS (SELECT DISTINCT name, lower(name) AS name_lc FROM exports)"""
 
 
+#: Symbols of script files, by the extension of their path.
+SCRIPT_SQL = "(path LIKE '%.ts' OR path LIKE '%.js')"
+
+
+def in_group(group: str) -> Column:
+    """Whether a path is of a language of the group."""
+    return paths.group_of(paths.language_of(F.col("path"))) == group
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, ord, href): the anchors of every page, in order."""
     found = F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), F.lit(1))

@@ -377,14 +377,14 @@ def barrel_closure(spark, sf_dir):
 
 
 _RESOLVE_SQL = f"""{p.EXPORTS_SQL}, files AS (SELECT DISTINCT path FROM exports),
-asked AS (SELECT sym_id, path AS importer, '../' || split_part(path, '/', 4) || '/p' || ((sym_id + 1) % 97) AS spec FROM exports WHERE sym_id % 4 < 2),
+asked AS (SELECT sym_id, path AS importer, '../' || split_part(path, '/', 4) || '/p' || ((sym_id + 1) % 97) AS spec FROM exports WHERE {p.SCRIPT_SQL}),
 tried AS (SELECT sym_id, '/repo/' || split_part(importer, '/', 3) || '/' || split_part(importer, '/', 4) || '/p' || ((sym_id + 1) % 97) AS base FROM asked),
 each AS (SELECT sym_id, unnest(range(16)) AS pos, base || unnest(['.ts','.tsx','.d.ts','.mts','.cts','.js','.jsx','.mjs','.cjs','/index.ts','/index.tsx','/index.d.ts','/index.js','/index.jsx','/index.mjs','/index.cjs']) AS path FROM tried)"""
 
 
 @query(f"WITH {_RESOLVE_SQL} SELECT sym_id, arg_min(path, pos) AS target FROM each JOIN files USING (path) GROUP BY sym_id")
 def first_resolving_candidate(spark, sf_dir):
-    e = p.exports(spark, sf_dir).filter("sym_id % 4 < 2")
+    e = p.exports(spark, sf_dir).filter(p.in_group("web"))
     brand = F.split("path", "/")[3]
     spec = F.concat(F.lit("../"), brand, F.lit("/p"), ((F.col("sym_id") + 1) % 97).cast("string"))
     rows = e.select(F.col("sym_id").alias("row_id"), reexport.script_candidates(spec, F.col("path")).alias("tried"))
@@ -412,7 +412,7 @@ def strip_ext(spark, sf_dir):
 SELECT sym_id, CASE WHEN t1 = t2 AND b1 = b2 THEN './' || f WHEN t1 = t2 THEN '../' || b2 || '/' || f ELSE '../../' || t2 || '/' || b2 || '/' || f END AS specifier FROM t""")
 def relative_specifier(spark, sf_dir):
     e = p.exports(spark, sf_dir)
-    a = e.filter(paths.group_of(paths.language_of(F.col("path"))) == "web").select("sym_id", F.col("path").alias("a"))
+    a = e.filter(p.in_group("web")).select("sym_id", F.col("path").alias("a"))
     b = e.select((F.col("sym_id") - 4).alias("sym_id"), F.col("path").alias("b"))
     return a.join(b, "sym_id").select("sym_id", paths.relative_specifier(F.col("a"), F.col("b")).alias("specifier"))
 
@@ -430,11 +430,11 @@ def synthetic_path(spark, sf_dir):
     return p.table(spark, sf_dir, "part").select("p_partkey", paths.synthetic_path(F.lit("python"), F.col("p_name"), F.lit("py")).alias("path"))
 
 
-@query(f"""WITH {p.EXPORTS_SQL}, f AS (SELECT sym_id, CASE WHEN sym_id % 8 = 2 THEN '/v/lib/site-packages' || path ELSE path END AS path FROM exports WHERE sym_id % 4 = 2)
+@query(f"""WITH {p.EXPORTS_SQL}, f AS (SELECT sym_id, CASE WHEN sym_id % 8 = 2 THEN '/v/lib/site-packages' || path ELSE path END AS path FROM exports WHERE path LIKE '%.py')
 SELECT sym_id, replace(regexp_replace(CASE WHEN sym_id % 8 = 2 THEN path[length('/v/lib/site-packages/') + 1:] ELSE path[length('/repo/') + 1:] END, '\\.py$', ''), '/', '.') AS module FROM f""")
 def module_of_path(spark, sf_dir):
     path = F.when(F.col("sym_id") % 8 == 2, F.concat(F.lit("/v/lib/site-packages"), F.col("path"))).otherwise(F.col("path"))
-    rows = p.exports(spark, sf_dir).filter("sym_id % 4 = 2")
+    rows = p.exports(spark, sf_dir).filter(p.in_group("python"))
     return rows.select("sym_id", paths.python_module(path, F.lit("/repo")).alias("module"))
 
 
@@ -443,12 +443,12 @@ _ALIASES = [("@/*", "/repo/"), ("@eco/*", "/repo/economy/"), ("@one/*", "/repo/e
 
 @query(f"""WITH {p.EXPORTS_SQL}, alias(pattern, folder) AS (VALUES {", ".join(map(str, _ALIASES))})
 SELECT sym_id, arg_max(replace(pattern, '*', regexp_replace(path[length(folder) + 1:], '\\.(ts|js)$', '')), length(pattern)) AS specifier
-FROM exports JOIN alias ON starts_with(path, folder) WHERE sym_id % 4 < 2 GROUP BY sym_id""")
+FROM exports JOIN alias ON starts_with(path, folder) WHERE {p.SCRIPT_SQL} GROUP BY sym_id""")
 def alias_best_match(spark, sf_dir):
     from symbolgrid.operators import specifiers
 
     rules = spark.createDataFrame([(i, a, f"{f}*") for i, (a, f) in enumerate(_ALIASES)], "ord int, pattern string, target string")
-    rows = p.exports(spark, sf_dir).filter("sym_id % 4 < 2").select(F.col("sym_id").alias("row_id"), F.col("path").alias("target_path"))
+    rows = p.exports(spark, sf_dir).filter(p.in_group("web")).select(F.col("sym_id").alias("row_id"), F.col("path").alias("target_path"))
     return specifiers.best_alias(rows, rules).select(F.col("row_id").alias("sym_id"), F.col("alias").alias("specifier"))
 
 
@@ -478,6 +478,14 @@ def stdlib_catalog(spark, sf_dir):
     return rows.select(F.col("file_qualifier").alias("qualifier"), "name", "kind", "flags")
 
 
+@query("SELECT * FROM (VALUES ('java', 30, 0), ('node', 35, 27), ('python', 48, 39)) AS t(language_key, modules, imports)")
+def stdlib_counts(spark, sf_dir):
+    """Modules of every language's catalogue, and those of them that are imported as a whole."""
+    rows = catalog.symbols(spark, catalog.rows(spark)).withColumn("language_key", F.split("path", "/")[1])
+    whole = F.when(F.col("flags").bitwiseAND(F.lit(model.MODULE_IMPORT)) != 0, F.col("file_qualifier"))
+    return rows.groupBy("language_key").agg(F.count_distinct("file_qualifier").alias("modules"), F.count_distinct(whole).alias("imports"))
+
+
 @query("""WITH v AS (SELECT user_id, event_id, sha256(props) AS hash, lag(sha256(props)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events)
 SELECT user_id, event_id FROM v WHERE was IS NULL OR was != hash""")
 def noop_suppression(spark, sf_dir):
