@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,8 +104,10 @@ class Engine:
                 found.append(tree.library_modules(files))
         return reduce(DataFrame.unionByName, found) if found else None
 
-    def build(self) -> dict:
-        """Scan the workspace and its libraries from scratch, save, and return the counts."""
+    def build(self, progress: Callable[[str, int], None] | None = None) -> dict:
+        """Scan the workspace and its libraries from scratch, save, and return the counts.
+        ``progress`` hears of every step that is done, with the rows of its table."""
+        tell = progress or (lambda step, rows: None)
         files = self.workspace_files()
         files = tree.with_python_modules(files, files, self.settings.root)
         libraries = self.library_files()
@@ -112,13 +115,17 @@ class Engine:
             files = files.unionByName(libraries.join(files.select("path"), "path", "left_anti").dropDuplicates(["path"]))
         scratch = Scratch(self.spark, "build")
         extracted = scratch.put("extracted", extract.extract_files(files, self.settings))
+        tell("files", extracted.count())
         found, own, re_exports = extract.files_of(extracted), extract.exports_of(extracted), extract.re_exports_of(extracted)
         edges = scratch.put("edges", reexport.barrel_edges(re_exports, found))
-        symbols = self._qualified(reexport.flatten_fixpoint(self.spark, own, edges), found)
+        tell("edges", edges.count())
+        symbols = scratch.put("symbols", self._qualified(reexport.flatten_fixpoint(self.spark, own, edges), found))
+        tell("symbols", symbols.count())
         standard = self.standard_symbols()
         columns = ["path", "name", "kind", "flags", "file_qualifier", "parent_qualifier"]
         standard = scratch.put("standard", self._as_exports(standard.select(*columns) if standard is not None else symbols.limit(0).select(*columns)))
-        tables = {"files": found, "own": own, "re_exports": re_exports, "edges": edges, "symbols": scratch.put("symbols", symbols), "standard": standard}
+        tell("standard", standard.count())
+        tables = {"files": found, "own": own, "re_exports": re_exports, "edges": edges, "symbols": symbols, "standard": standard}
         self._replace(tables | {"packages": self.package_names(), "aliases": self.path_aliases()})
         scratch.drop("")
         return self.stats()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symbolgrid import model
+from symbolgrid.__main__ import main
 from symbolgrid.model import Settings
 from symbolgrid.operators import extract, reexport, specifiers
 from symbolgrid.parsing.extract import python_lines
@@ -247,6 +248,37 @@ def test_stream(spark, engine, workspace, tmp_path):
     assert {(r.path.rpartition("/")[2], r.seq) for r in ingest.bursts(burst).collect()} == {("live.ts", 2), ("order.ts", 3)}
 
 
+def test_stream_of_bursts(spark, workspace, tmp_path):
+    """In a stream a burst counts by its last edit, once the watermark has passed it."""
+    e = Engine(spark, Settings(workspace, standard_library=False, script_packages=False, python_packages=False), str(tmp_path / "store"))
+    e.build()
+    (tmp_path / "feed").mkdir()
+    edit = lambda name, source, seq, ts: {"path": f"{workspace}/src/{name}.ts", "op": "upsert", "source": source, "seq": seq, "ts": ts}
+    rows = [
+        edit("live", "export class One {}", 1, "2024-01-01T00:00:00.000Z"),
+        edit("live", "export class Two {}", 2, "2024-01-01T00:00:00.100Z"),
+        edit("late", "export class Late {}", 3, "2024-01-01T00:01:00.000Z"),
+        {**edit("user", None, 4, "2024-01-01T00:00:00.100Z"), "op": "delete"},
+    ]
+    (tmp_path / "feed" / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    stream, heard = spark.readStream.schema(ingest.CHANGES).json(str(tmp_path / "feed")), []
+    ingest.follow(e, stream, str(tmp_path / "checkpoint"), once=True, progress=lambda epoch, done: heard.append(done)).awaitTermination()
+    names = {x[1] for x in symbols(e)}
+    assert "Two" in names and not names & {"One", "Late", "getCurrentUser"}
+    assert sum(heard) == 1
+
+
+def test_command_line(spark, workspace, tmp_path):
+    run = lambda verb, *more: main([verb, workspace, str(tmp_path / "store"), *more], spark)
+    *steps, counts = map(json.loads, run("refresh"))  # there is no store yet
+    assert [x["done"] for x in steps] == ["files", "edges", "symbols", "standard"] and all(x["rows"] for x in steps)
+    assert json.loads(run("stats")[0]) == counts
+    assert json.loads(run("refresh")[0]) == {"changed": 0}
+    found = [json.loads(x) for x in run("query", "Us", f"{workspace}/src/consumer.ts", "--limit", "2")]
+    assert [x["position"] for x in found] == [1, 2] and found[0]["name"] == "User"
+    assert run("clear") == [] and json.loads(run("stats")[0]) == counts
+
+
 def test_line_patterns_in_sql_equal_python(spark):
     sources = [
         ("a.py", '"""doc\nclass No: pass\n"""\nclass A(:\n  def no(self): pass\nasync def f(: pass\nx: int = 1  # c\nif = 3\n_p = 2\n'),
