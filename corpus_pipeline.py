@@ -15,7 +15,8 @@ from symbolgrid.llm.durable import Store
 
 
 def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of docs whose (doc_id, content) is in ``wanted``; texts are hashed, not sorted."""
+    """Rows of docs whose (doc_id, content) is in ``wanted``; texts are hashed, not sorted. A task
+    holds the distinct pairs of its partition, two numbers for each of the texts that it streams."""
     keys = wanted.select(F.col("doc_id").alias("wanted_id"), F.col("content").alias("wanted_content")).distinct()
     content = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     same = docs["doc_id"].eqNullSafe(F.col("wanted_id")) & (content == F.col("wanted_content"))
