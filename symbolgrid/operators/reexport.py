@@ -36,11 +36,14 @@ def python_candidates(specifier: Column, importer: Column) -> Column:
 def first_existing(rows: DataFrame, tried: str, files: DataFrame, out: str = "target") -> DataFrame:
     """Per row the first path of the array column ``tried`` that is in files(path).
 
-    Rows need a unique ``row_id``; those without any existing candidate are left out.
+    Rows need a unique ``row_id``; those without any existing candidate are left out. Both joins are
+    merged: sizes of computed paths are guessed too low, and a broadcast of rows or files, which
+    grow with the input, would have to fit the driver.
     """
     each = rows.select("row_id", F.posexplode(tried).alias("pos", "path"))
-    found = each.join(files.select("path").distinct(), "path").groupBy("row_id").agg(F.min_by("path", "pos").alias(out))
-    return rows.drop(tried).join(found, "row_id")
+    found = each.join(files.select("path").distinct().hint("merge"), "path").groupBy("row_id").agg(F.min_by("path", "pos").alias(out))
+    rest = rows.drop(tried)
+    return found if rest.columns == ["row_id"] else rest.hint("merge").join(found, "row_id")
 
 
 def _tried(re_exports: DataFrame) -> DataFrame:

@@ -299,6 +299,20 @@ def test_cycles_end(spark):
     assert got == {("/a.ts", "A"), ("/a.ts", "B"), ("/b.ts", "A"), ("/b.ts", "B"), ("/c.ts", "A"), ("/c.ts", "B")}
 
 
+def test_first_existing_sends_neither_rows_nor_files_to_the_driver(spark, tmp_path):
+    rows = [(1, "b", ["/a.ts", "/b.ts"]), (2, None, ["/x.ts", "/b.ts", "/a.ts"]), (3, "c", ["/x.ts"]), (4, "d", []), (5, "e", ["/a.ts", "/a.ts"])]
+    spark.createDataFrame(rows, "row_id long, note string, tried array<string>").write.parquet(str(tmp_path / "rows"))
+    spark.createDataFrame([("/a.ts",), ("/b.ts",), ("/a.ts",), (None,)], "path string").write.parquet(str(tmp_path / "files"))
+    rows, files = spark.read.parquet(str(tmp_path / "rows")), spark.read.parquet(str(tmp_path / "files"))
+    for given in (rows.drop("note"), rows):
+        found = reexport.first_existing(given, "tried", files)
+        got = {tuple(r[c] for c in found.columns) for r in found.collect()}
+        want = {(1, "b", "/a.ts"), (2, None, "/b.ts"), (5, "e", "/a.ts")}
+        assert found.columns == [c for c in given.columns if c != "tried"] + ["target"]
+        assert got == (want if "note" in given.columns else {(r[0], r[2]) for r in want})
+        assert "Broadcast" not in found._jdf.queryExecution().toString()
+
+
 def test_package_files():
     assert npm.entry_points(json.dumps({"exports": {".": {"types": "./t.d.ts", "default": "./d.js"}}, "main": "m.js"})) == ["./t.d.ts", "./d.js", "m.js", "index.d.ts", "index.ts"]
     assert npm.entry_points("{broken") == ["index.d.ts", "index.ts"]
